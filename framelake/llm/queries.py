@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.clusters import audit_points, similar_groups, similarity_clusters
+from framelake.llm.packing import pack
+from framelake.llm.quantiles import merge, percentiles, sketch
+from framelake.llm.subset import config_key, varied_subsets
 from framelake.runtime import read_table
 
 
@@ -20,5 +23,50 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("leaf", "grp", "isolated", "elements", "n", "first_id", "centre", F.array_join("typical", ",").alias("typical"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters}
-ORACLE: dict[str, str] = {}
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of force and energy per config type and over all records, with their error bound."""
+    fields = ["max_force", "energy_per_atom"]
+    rows = read_table(spark, sf_dir, "audit_records").select("record_id", config_key(F.col("config_type")).alias("config_type"), *fields).dropDuplicates(["record_id"])
+    parts = sketch(rows, "config_type", fields)
+    per_type = merge(parts)
+    # the sketch over all records is merged from those of the config types
+    per_type = per_type.withColumn("scope", F.lit("config_type"))
+    whole = merge(per_type.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(1024))).withColumn("grp", F.lit("*all*")).drop("scope"))
+    at = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    one = percentiles(per_type.drop("scope"), fields, at).select(F.lit("config_type").alias("scope"), F.col("grp").alias("config_type"), "*").drop("grp")
+    every = percentiles(whole, fields, at).select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("config_type"), "*").drop("grp")
+    return one.unionByName(every)
+
+
+def p4_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The varied subset of each request."""
+    requests = [r.asDict() for r in read_table(spark, sf_dir, "fps_filter_params").select("params_id", "n_samples", "strategy", "source").collect()]
+    return varied_subsets(read_table(spark, sf_dir, "audit_records"), requests)
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, bin, document and piece, for each kind of container."""
+    kinds = [(r["container"], r["capacity_tokens"]) for r in read_table(spark, sf_dir, "container_specs").collect()]
+    return pack(read_table(spark, sf_dir, "documents"), kinds)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents larger than the container."""
+    return p6_packing(spark, sf_dir).where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("container", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and unused room by kind."""
+    kinds = {r["container"]: r["capacity_tokens"] for r in read_table(spark, sf_dir, "container_specs").collect()}
+    used = p6_packing(spark, sf_dir).groupBy("container").agg(F.count_distinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
+    capacity = F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("container"))
+    return used.withColumn("filled", F.col("tokens") / (F.col("bins") * capacity))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_percentiles": p3_percentiles, "p4_subsets": p4_subsets,
+    "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
+}
+ORACLE = {
+    "p6_found": r"SELECT c.container, d.doc_id FROM documents d CROSS JOIN container_specs c WHERE len(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) > c.capacity_tokens",
+}
