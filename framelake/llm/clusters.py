@@ -187,7 +187,7 @@ def _large_leaves(rows: DataFrame) -> DataFrame:
 
 def _touching(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Whether any point of one side is similar to any of the other, in blocks."""
-    a, b = (t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+    a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((left, "xa"), (right, "xb")))
     hit = any((np.abs(a[i : i + 64, None, :] - b[None, j : j + 4096, :]).max(2) < LIMIT).any() for i in range(0, len(a), 64) for j in range(0, len(b), 4096))
     return pa.table({"la": [key[0].as_py()] * hit, "lb": [key[1].as_py()] * hit}, schema=pa.schema([("la", pa.int64()), ("lb", pa.int64())]))
 
@@ -229,17 +229,21 @@ def similarity_clusters(points: DataFrame, max_rows: int = 200_000, part_rows: i
 
     # the open pairs that touch a whole group are compared point by point
     of = label.join(whole.select("grp"), "grp", "left_semi").select(F.col("leaf").alias("la"), "grp")
-    open_ = near.where("NOT sure").join(of, "la").join(leaves.select(F.col("leaf").alias("la"), F.col("n").alias("na")), "la").join(leaves.select(F.col("leaf").alias("lb"), F.col("n").alias("nb")), "lb")
+    boxes = leaves.select("leaf", "n", "lo", "hi")
+    open_ = near.where("NOT sure").join(of, "la").join(boxes.toDF("la", "na", "loa", "hia"), "la").join(boxes.toDF("lb", "nb", "lob", "hib"), "lb")
     open_ = open_.withColumns({"ka": F.ceil(F.col("na") / part_rows), "kb": F.ceil(F.col("nb") / part_rows)})
     whole = materialize(whole, "whole-groups")
     if not open_.isEmpty():
         at = members.join(points.select("record_id", "x"), "record_id")
         piece = lambda k: F.pmod(F.xxhash64("record_id"), F.col(k))
         every = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1))
-        one = open_.join(at.withColumnRenamed("leaf", "la"), "la").select("la", "lb", piece("ka").alias("pa"), every("kb").alias("pb"), "x")
-        two = open_.join(at.withColumnRenamed("leaf", "lb"), "lb").select("la", "lb", every("ka").alias("pa"), piece("kb").alias("pb"), "x")
-        keys4 = ["la", "lb", "pa", "pb"]
-        hit = one.groupBy(*keys4).cogroup(two.groupBy(*keys4)).applyInArrow(_touching, "la bigint, lb bigint")
+        # only points less than one from the other leaf's box can be similar to a point in it
+        beside = lambda lo, hi: F.array_max(F.zip_with(F.zip_with("x", hi, lambda p, q: p - q), F.zip_with(lo, "x", lambda p, q: p - q), lambda p, q: F.greatest(p, q))) < LIMIT
+        one = open_.join(at.withColumnRenamed("leaf", "la"), "la").where(beside("lob", "hib"))
+        one = one.select(F.col("la").alias("a1"), F.col("lb").alias("b1"), piece("ka").alias("i1"), every("kb").alias("j1"), F.col("x").alias("xa"))
+        two = open_.join(at.withColumnRenamed("leaf", "lb"), "lb").where(beside("loa", "hia"))
+        two = two.select(F.col("la").alias("a2"), F.col("lb").alias("b2"), every("ka").alias("i2"), piece("kb").alias("j2"), F.col("x").alias("xb"))
+        hit = one.groupBy("a1", "b1", "i1", "j1").cogroup(two.groupBy("a2", "b2", "i2", "j2")).applyInArrow(_touching, "la bigint, lb bigint")
         whole = materialize(whole.join(hit.join(of, "la").select("grp").distinct(), "grp", "left_anti"), "isolated-groups")
     out = named.join(whole.select("grp", "size", "group_first"), "grp", "left").withColumn("isolated", F.col("size").isNotNull())
     return out, members
