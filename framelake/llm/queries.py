@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.clusters import audit_points, similar_groups, similarity_clusters
+from framelake.llm.leakage import leaks
 from framelake.llm.packing import pack
 from framelake.llm.quantiles import merge, percentiles, sketch
+from framelake.llm.subjects import subject_shares
 from framelake.llm.subset import config_key, varied_subsets
 from framelake.runtime import read_table
 
@@ -63,9 +65,31 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.withColumn("filled", F.col("tokens") / (F.col("bins") * capacity))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of each document, with the place in the original text."""
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an item."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each subject in each document."""
+    areas = [(r["subject"], r["description"] or "") for r in read_table(spark, sf_dir, "subject_areas").orderBy("subject_id").collect()]
+    return subject_shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), areas)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that take at least a quarter of a document's treating sentences."""
+    return p8_shares(spark, sf_dir).where(F.col("share") >= 0.25).select("doc_id", "subject")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_percentiles": p3_percentiles, "p4_subsets": p4_subsets,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 ORACLE = {
     "p6_found": r"SELECT c.container, d.doc_id FROM documents d CROSS JOIN container_specs c WHERE len(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) > c.capacity_tokens",
