@@ -43,6 +43,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
+    """Hash ``df`` by ``key`` over the cluster's cores before work that is heavy per row.
+
+    Input splits follow bytes; texts cost far more CPU than reading them.  With
+    more input than that many splits the input's own partitioning is kept.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
+
+
 @atexit.register
 def _clean() -> None:
     for path in reversed(_created):
