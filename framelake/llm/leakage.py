@@ -4,11 +4,10 @@ Items and documents are reduced to words: case, punctuation, markup, invisible
 characters, letter forms and broken umlauts are normalised away.  Every run of
 ``SEED`` units of an item (words, or characters of Chinese items) enters one
 automaton over the text without spaces; each document is scanned once and the
-hits are mapped back to words.  Around the hits a local alignment decides
-exactly: it gains one for each item unit kept and loses one in eight for each
-unit changed, added or missing, so a passage counts if at least ``MIN_UNITS``
-units are covered and the balance is not negative.  Sentences that occur word
-for word in several items gain and cost nothing.
+hits are mapped back to words.  Around the hits edit distances decide exactly:
+a passage counts if it covers at least ``MIN_UNITS`` units of the item of which
+at most one in eight is changed, added or missing.  Units of sentences that
+occur word for word in several items count for nothing and cost nothing.
 
 Edits cut a passage of ``n`` units into at most ``n // 8 + 1`` kept runs, which
 hold at least ``HITS`` seeds for every ``n`` that counts, so no passage is missed
@@ -36,9 +35,6 @@ from framelake.runtime import spread
 SEED = 5
 HITS = {True: 6, False: 3}  # Chinese characters, words
 MIN_UNITS = {True: 30, False: 20}  # Chinese characters, words
-#: Weight of the balance over the length in one integer.
-_W = 1 << 12
-
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BROKEN = re.compile("[Â-Å][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]")
 _MARKS = re.compile("[\u0300-\u036f\u20d0-\u20ff]")
@@ -139,28 +135,33 @@ def automaton(items: list[Item]) -> ahocorasick.Automaton | None:
 
 
 def _holds(item: Item, codes: np.ndarray, item_codes: np.ndarray) -> int | None:
-    """Last unit of a passage of ``item`` in the coded window, if there is one."""
-    n, need = len(item_codes), MIN_UNITS[item.han]
-    m = len(codes)
-    step = (8 * _W * np.arange(m + 1)).astype(np.int32)
-    prev = np.zeros(m + 1, np.int32)
-    for i in range(n):
-        same = codes == item_codes[i]
-        cur = np.empty_like(prev)
-        if item.free[i]:
-            cur[:] = prev
-            cur[1:] = np.maximum(cur[1:], np.where(same, prev[:-1], 0))
-        else:
-            cur[0] = max(0, prev[0] - 7 * _W + 1)
-            cur[1:] = np.maximum(prev[:-1] + np.where(same, _W + 1, -7 * _W + 1), prev[1:] - 7 * _W + 1)
-        cur = np.maximum.accumulate(cur + step) - step
-        cur[cur < 0] = 0
-        length, balance = cur & (_W - 1), cur >> 12
-        # words at either end of the passage may be changed ones as well
-        ok = length + np.minimum(balance // 7, n - length) >= need
+    """End in the coded window of a passage of ``item``, if there is one.
+
+    Edit distances of the item from each of its units on, to any part of the
+    window, all starts side by side.  Of a passage of twice the least length one
+    half would do, so longer ones need no look, and a start is given up at more
+    edits than the longest may have.
+    """
+    n, m, need = len(item_codes), len(codes), MIN_UNITS[item.han]
+    most = (2 * need - 1) // 8
+    column = np.arange(m + 1, dtype=np.int16)
+    at, length = np.arange(n), np.zeros(n, np.int16)
+    edits = np.zeros((n, m + 1), np.int16)
+    while len(at):
+        free = item.free[at]
+        miss = np.where(codes[None, :] == item_codes[at][:, None], 0, np.where(free, 99, 1)[:, None]).astype(np.int16)
+        skip = (~free).astype(np.int16)
+        new = edits + skip[:, None]
+        np.minimum(new[:, 1:], edits[:, :-1] + miss, out=new[:, 1:])
+        edits = np.minimum.accumulate(new - column, axis=1) + column
+        length = length + skip
+        least = edits.min(1)
+        ok = (length >= need) & (8 * least <= length)
         if ok.any():
-            return int(np.flatnonzero(ok)[0])
-        prev = cur
+            return int(edits[np.argmax(ok)].argmin())
+        at = at + 1
+        keep = (at < n) & (least <= most) & (length < 2 * need)
+        at, length, edits = at[keep], length[keep], edits[keep]
     return None
 
 

@@ -82,8 +82,9 @@ def terms(sentence: str) -> set[str]:
 class Model:
     """Components and what follows from them: specificity and subject of each term."""
 
-    #: Information gain from which a term is specific; below which a pair seen TRUST times vetoes its words; prior weight.
-    GAIN, VETO, TRUST, PRIOR = 0.5, 0.25, 8, 4.0
+    #: Parts of the largest possible information gain from which a term is specific, and below which a pair
+    #: seen TRUST times vetoes its words; prior weight.
+    GAIN, VETO, TRUST, PRIOR = 0.2, 0.1, 8, 4.0
 
     def __init__(self, place: dict[str, int], plain: np.ndarray, shared: np.ndarray) -> None:
         """``plain`` spreads each term by its documents' mixtures alone, ``shared`` by the components as well.
@@ -96,14 +97,14 @@ class Model:
         self.count = plain.sum(0)
         smooth = lambda x: (x + self.PRIOR * self.base[:, None]) / (x.sum(0) + self.PRIOR)
         self.p, p = smooth(shared), smooth(plain)
-        self.gain = (p * np.log(p / self.base[:, None])).sum(0)
+        self.gain = (p * np.log(p / self.base[:, None])).sum(0) / np.log(max(2, len(p)))
         self.h = (shared + 1e-6) / (shared + 1e-6).sum(1, keepdims=True)
         self._known: dict[str, int | None] = {}
 
     def sentence(self, text: str) -> int | None:
         """The subject that ``text`` treats, if any."""
         if text not in self._known:
-            if len(self._known) > 500_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
             score = np.zeros(len(self.base))
             for w, pairs in slots(text):
@@ -129,7 +130,7 @@ class Terms:
             for s in sents:
                 ids = self.known.get(s)
                 if ids is None:
-                    if len(self.known) > 200_000:
+                    if len(self.known) > 50_000:
                         self.known.clear()
                     ids = self.known[s] = np.array(sorted(self.place[t] for t in terms(s) if t in self.place), np.int64)
                 rows.append(np.full(len(ids), d))
@@ -198,7 +199,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, coder = np.zeros((2 * k, len(place))), Terms(place)
-            for b in batches:
+            for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
                 total += function(coder, b["sents"].to_pylist(), b["subjects"].to_pylist())
             at = np.flatnonzero(total.any(0))
             yield pa.record_batch([pa.array(at), *(pa.array(total[j, at]) for j in range(2 * k))], ["t", *(f"v{j}" for j in range(2 * k))])

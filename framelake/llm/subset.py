@@ -5,7 +5,7 @@ that the model sees variety rather than frequency.  Every partition runs
 mini-batch k-means over all its patterns from the shared centres; the copies
 are merged by their counts after each pass.  Seeds come from ``seed_rows``
 patterns with the smallest hashes (a documented bound).  Quotas are
-proportional to the square root of the cluster's size (strategy ``global``) or
+one each, as far as there are slots, and beyond that proportional to the square root of the cluster's size (strategy ``global``) or
 equal (``element_set``); slots a cluster cannot fill go to the others.  Within
 a cluster the records with the smallest hashes are taken: whole hash buckets by
 count, and ranks only inside the one bucket that the quota cuts.
@@ -106,9 +106,9 @@ def fit(patterns: DataFrame, k: int, passes: int, seed_rows: int, batch: int = 1
 
 
 def quotas(sizes: np.ndarray, n: int, equal: bool) -> np.ndarray:
-    """Slots per cluster, capped by its size, unused slots redistributed."""
-    take = np.zeros(len(sizes), np.int64)
+    """One slot per cluster if there are enough, then by weight, capped by size, unused slots redistributed."""
     n = min(n, int(sizes.sum()))
+    take = (sizes > 0).astype(np.int64) if n >= (sizes > 0).sum() else np.zeros(len(sizes), np.int64)
     while (left := n - int(take.sum())) > 0:
         room = sizes - take
         weight = np.where(room > 0, 1.0 if equal else np.sqrt(sizes), 0.0)
