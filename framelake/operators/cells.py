@@ -24,7 +24,10 @@ def scan(low: float, high: float, step: float) -> list[float]:
 
 
 def _scaled(lattice: Column, factors: list[Column]) -> Column:
-    return F.array(*(F.transform(lattice[i], lambda x, f=factors[i]: x * f) for i in range(3)))
+    def row(i: int) -> Column:
+        return F.transform(lattice[i], lambda x: x * factors[i])
+
+    return F.array(*map(row, range(3)))
 
 
 def strain(df: DataFrame, x: tuple, y: tuple, z: tuple, lattice: str = "lattice") -> DataFrame:

@@ -24,7 +24,7 @@ def found(spark, data, **how):
 
 @pytest.fixture(scope="module")
 def normal():
-    return list(np.exp(np.random.default_rng(1).normal(0, 0.3, 400)))
+    return np.exp(np.random.default_rng(1).normal(0, 0.3, 400)).tolist()
 
 
 def test_components_separate_spikes_from_low_rank():
