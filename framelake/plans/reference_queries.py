@@ -232,7 +232,6 @@ def j7_range_neighbours(t):
 
 @query("SELECT i, j FROM (SELECT a.p_partkey AS i, b.p_partkey AS j, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(a.p_retailprice - b.p_retailprice), b.p_partkey) AS rk FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) t WHERE rk <= 2")
 def j8_knn(t):
-    # in one dimension the two nearest are among two on either side, plus ties, which share the distance
     p = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     q = p.toDF("j", "p_brand", "p_size", "price")
     near = p.join(q, ["p_brand", "p_size"]).where("p_partkey <> j").withColumn("d", F.abs(F.col("p_retailprice") - F.col("price")))
