@@ -1,14 +1,26 @@
-"""A varied subset of given size: mini-batch k-means, quotas per cluster, sampling within quotas.
+"""A varied subset of given size: mini-batch k-means, quotas per cluster, farthest patterns within quotas.
 
 Records are reduced to distinct (composition, config type) patterns first, so
-that the model sees variety rather than frequency.  Every partition runs
-mini-batch k-means over all its patterns from the shared centres; the copies
-are merged by their counts after each pass.  Seeds come from ``seed_rows``
-patterns with the smallest hashes (a documented bound).  Quotas are
-one each, as far as there are slots, and beyond that proportional to the square root of the cluster's size (strategy ``global``) or
-equal (``element_set``); slots a cluster cannot fill go to the others.  Within
-a cluster the records with the smallest hashes are taken: whole hash buckets by
-count, and ranks only inside the one bucket that the quota cuts.
+that the model sees variety rather than frequency.  Every pattern gives one
+record before any gives a second, and so on: a request takes up to ``level``
+records of every pattern, the highest level that fits, and one more of as many
+patterns as slots are left.  These are chosen for variety:
+
+* patterns are split by mini-batch k-means into as many clusters as the square
+  root of their number, at least ``clusters``.  Every partition runs it over all
+  its patterns from the shared centres; the copies are merged by their counts
+  after each pass.  Seeds come from ``seed_rows`` patterns with the smallest
+  hashes (a documented bound);
+* each cluster gets one slot, and the rest goes by the square root of its number
+  of patterns (strategy ``global``) or equally (``element_set``); slots a cluster
+  cannot fill go to the others;
+* inside a cluster every slot goes to the pattern farthest from those chosen so
+  far.  Clusters of more than ``chunk_rows`` patterns are cut by hash into parts
+  of about that many, each with its share of the slots;
+* with fewer slots than clusters, the slots go to the patterns farthest from each
+  other among the first ``FEW`` of every part, for which all patterns were read.
+
+The records of a pattern are taken in the order of their hashes.
 
 Defined results: a null or non-positive size gives no rows; a size above the
 number of records gives all of them; null compositions and config types are
@@ -30,7 +42,7 @@ from framelake.runtime import materialize
 
 ELEMENT_DIMS, KIND_DIMS, TAG_DIMS = 256, 32, 16
 DIMS = ELEMENT_DIMS + KIND_DIMS + TAG_DIMS
-BUCKETS = 1024
+FEW = 8
 
 
 def config_key(c: Column) -> Column:
@@ -121,8 +133,42 @@ def quotas(sizes: np.ndarray, n: int, equal: bool) -> np.ndarray:
     return take
 
 
-def varied_subsets(records: DataFrame, requests: list[dict], *, clusters: int = 64, passes: int = 3, seed_rows: int = 4096) -> DataFrame:
+def level(counts: np.ndarray, times: np.ndarray, n: int) -> tuple[int, int]:
+    """Records that every pattern can give within ``n``, and slots left; ``times`` patterns have ``counts`` records."""
+    lo, hi = 0, int(counts.max(initial=0))
+    used = lambda k: int((np.minimum(counts, k) * times).sum())
+    if used(hi) <= n:
+        return hi, 0
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if used(mid) <= n else (lo, mid)
+    return lo, n - used(lo)
+
+
+def farthest(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of ``x`` in order: the one nearest the mean, then always the farthest from those before."""
+    x = x.astype(np.float32)
+    square = (x**2).sum(1)
+    at = int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))
+    d, picked = np.full(len(x), np.inf, np.float32), []
+    for _ in range(min(n, len(x))):
+        picked.append(at)
+        d = np.minimum(d, np.maximum(square - 2 * (x @ x[at]) + square[at], 0))
+        d[picked] = -1
+        at = int(np.argmax(d))
+    return np.array(picked, np.int64)
+
+
+def _order(t: pa.Table) -> pa.Table:
+    """Patterns of one group with their turn, as far as the largest request goes."""
+    t = t.sort_by("sig")
+    at = farthest(vectors(t["elements"].to_pylist(), t["shares"].to_pylist(), t["config"].to_pylist()), t["most"][0].as_py())
+    return t.drop_columns(["most"]).take(pa.array(at)).append_column("turn", pa.array(np.arange(len(at)), pa.int64()))
+
+
+def varied_subsets(records: DataFrame, requests: list[dict], *, clusters: int = 64, passes: int = 3, seed_rows: int = 4096, chunk_rows: int = 2048) -> DataFrame:
     """``params_id, record_id, cluster`` for each request (``params_id, n_samples, strategy, source``)."""
+    spark = records.sparkSession
     share = F.map_filter("composition", lambda k, v: (v > 0) & ~F.isnan(v))
     rows = records.select(F.col("record_id").cast("bigint").alias("record_id"), "source", F.array_sort(F.map_entries(share)).alias("c"), config_key(F.col("config_type")).alias("config"))
     rows = rows.withColumn("total", F.aggregate("c", F.lit(0.0), lambda s, e: s + e["value"])).select(
@@ -130,39 +176,68 @@ def varied_subsets(records: DataFrame, requests: list[dict], *, clusters: int =
         F.transform("c", lambda e: e["key"]).alias("elements"),
         F.transform("c", lambda e: F.bround(e["value"] / F.col("total"), 2)).alias("shares"),
     )
-    rows = materialize(rows.withColumn("sig", F.xxhash64("elements", "shares", "config")).dropDuplicates(["record_id"]), "subset-rows")
+    rows = rows.withColumn("sig", F.xxhash64("elements", "shares", "config")).withColumn("h", F.xxhash64(F.lit("subset"), "record_id"))
+    rows = materialize(rows.dropDuplicates(["record_id"]), "subset-rows")
+    # patterns are few bytes and much work
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = None
     wanted = [r for r in requests if (r["n_samples"] or 0) > 0]
     for scope in sorted({r["source"] for r in wanted}, key=lambda s: (s is not None, s or "")):
         mine = rows if scope is None else rows.where(F.col("source") == scope)
-        patterns = materialize(mine.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("elements", "shares", "config"))), "subset-patterns")
-        centres = fit(patterns, clusters, passes, seed_rows)
+        patterns = mine.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("elements", "shares", "config")), F.count("*").alias("n"), F.min_by("record_id", F.struct("h", "record_id")).alias("first_id"))
+        patterns = materialize(patterns.repartition(parts, "sig"), "subset-patterns")
+        times = patterns.groupBy("n").count().toPandas()
+        centres = fit(patterns, max(clusters, int(np.ceil(np.sqrt(times["count"].sum())))), passes, seed_rows)
 
         def assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.record_batch({"sig": b["sig"], "cluster": pa.array(_nearest(_batch(b), centres), pa.int32())})
-
-        labels = patterns.mapInArrow(assign, "sig bigint, cluster int")
-        h = F.xxhash64(F.lit("subset"), "record_id")
-        placed = mine.select("record_id", "sig").join(labels, "sig").select("record_id", "cluster", h.alias("h"), F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"))
-        placed = materialize(placed, "subset-placed")
-        counts = placed.groupBy("cluster", "bucket").count().toPandas()
-        grid = np.zeros((len(centres), BUCKETS), np.int64)
-        grid[counts["cluster"], counts["bucket"]] = counts["count"]
-        plan = []
+                yield b.append_column("cluster", pa.array(_nearest(_batch(b), centres), pa.int32()))
+
+        placed = materialize(patterns.mapInArrow(assign, patterns.withColumn("cluster", F.lit(0)).schema), "subset-placed")
+        levels: dict[int, list[tuple[dict, int]]] = {}
         for r in (r for r in wanted if r["source"] == scope):
-            take = quotas(grid.sum(1), int(r["n_samples"]), (r["strategy"] or "").strip().lower() == "element_set")
-            for c in np.flatnonzero(take):
-                cum = np.r_[0, np.cumsum(grid[c])]
-                cut = int(np.searchsorted(cum, take[c], side="right")) - 1
-                plan.append((r["params_id"], int(c), cut, int(take[c] - cum[cut])))
-        if not plan:
-            continue
-        # at most one row per request and cluster, so it may be broadcast
-        plan_df = records.sparkSession.createDataFrame(plan, "params_id bigint, cluster int, cut int, rest bigint")
-        got = placed.join(F.broadcast(plan_df), "cluster").where(F.col("bucket") <= F.col("cut"))
-        edge = Window.partitionBy("params_id", "cluster").orderBy("h", "record_id")
-        cut_rows = got.where(F.col("bucket") == F.col("cut")).withColumn("rank", F.row_number().over(edge)).where(F.col("rank") <= F.col("rest")).drop("rank")
-        part = got.where(F.col("bucket") < F.col("cut")).unionByName(cut_rows).select("params_id", "record_id", "cluster")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else records.sparkSession.createDataFrame([], "params_id bigint, record_id bigint, cluster int")
+            k, left = level(times["n"].to_numpy(), times["count"].to_numpy(), int(r["n_samples"]))
+            levels.setdefault(k, []).append((r, left))
+        for k, asked in sorted(levels.items()):
+            part = None
+            if any(left for _, left in asked):
+                open_ = placed.where(F.col("n") > k)
+                chunks = open_.groupBy("cluster").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
+                open_ = open_.join(F.broadcast(chunks), "cluster").withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "sig"), F.col("chunks")))
+                held = open_.groupBy("cluster", "chunk").count().orderBy("cluster", "chunk").toPandas()
+                cluster, size = held["cluster"].to_numpy(), held["count"].to_numpy()
+                total = np.bincount(cluster, size, len(centres)).astype(np.int64)
+                kinds = int((total > 0).sum())
+                small = [(r["params_id"], left) for r, left in asked if 0 < left < kinds]
+                plan, most = [], np.full(len(held), FEW if small else 0, np.int64)
+                for r, left in ((r, left) for r, left in asked if left >= kinds):
+                    take = quotas(total, left, (r["strategy"] or "").strip().lower() == "element_set")
+                    slots = np.zeros(len(held), np.int64)
+                    for c in np.flatnonzero(take):
+                        slots[cluster == c] = quotas(size[cluster == c], int(take[c]), False)
+                    most = np.maximum(most, slots)
+                    plan += [(r["params_id"], int(cluster[i]), int(held["chunk"][i]), int(slots[i])) for i in np.flatnonzero(slots)]
+                # a row per request and part of a cluster, so both may be broadcast
+                plan_df = spark.createDataFrame(plan, "params_id bigint, cluster int, chunk bigint, slots bigint")
+                need = spark.createDataFrame([(int(cluster[i]), int(held["chunk"][i]), int(most[i])) for i in np.flatnonzero(most)], "cluster int, chunk bigint, most bigint")
+                turns = open_.join(F.broadcast(need), ["cluster", "chunk"]).select("sig", "elements", "shares", "config", "first_id", "cluster", "chunk", "most")
+                kept = turns.drop("most").withColumn("turn", F.lit(0).cast("bigint")).schema
+                turns = materialize(turns.repartition(parts, "cluster", "chunk").groupBy("cluster", "chunk").applyInArrow(_order, kept), "subset-turns")
+                part = turns.join(F.broadcast(plan_df), ["cluster", "chunk"]).where(F.col("turn") < F.col("slots")).select("params_id", "sig", "first_id", "cluster")
+                if small:
+                    firsts = turns.where(F.col("turn") < FEW).drop("turn").withColumn("most", F.lit(max(left for _, left in small)).cast("bigint"))
+                    ask_df = spark.createDataFrame(small, "params_id bigint, slots bigint")
+                    firsts = firsts.groupBy().applyInArrow(_order, kept).join(F.broadcast(ask_df), F.col("turn") < F.col("slots"))
+                    part = part.unionByName(firsts.select("params_id", "sig", "first_id", "cluster"))
+            if k == 0:
+                part = part.select("params_id", F.col("first_id").alias("record_id"), "cluster")
+            else:
+                full = k >= times["n"].max()
+                ranked = mine.select("record_id", "sig", "h").withColumn("rank", F.lit(1) if full else F.row_number().over(Window.partitionBy("sig").orderBy("h", "record_id")))
+                ranked = ranked.where(F.col("rank") <= k + 1)
+                base = ranked.where(F.col("rank") <= k).join(placed.select("sig", "cluster"), "sig")
+                base = base.select(F.explode(F.array(*(F.lit(r["params_id"]).cast("bigint") for r, _ in asked))).alias("params_id"), "record_id", "cluster")
+                more = None if part is None else ranked.where(F.col("rank") == k + 1).join(part.select("params_id", "sig", "cluster"), "sig").select("params_id", "record_id", "cluster")
+                part = base if more is None else base.unionByName(more)
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "params_id bigint, record_id bigint, cluster int")

@@ -10,7 +10,7 @@ from framelake.llm.clusters import audit_points, similar_groups, similarity_clus
 from framelake.llm.packing import pack, plan, token_count
 from framelake.llm.quantiles import merge, percentiles, sketch
 from framelake.llm.subjects import sentences, subject_shares
-from framelake.llm.subset import config_key, quotas, varied_subsets
+from framelake.llm.subset import config_key, farthest, level, quotas, varied_subsets
 
 AUDIT = "record_id bigint, source string, composition map<string,double>, config_type string, energy_per_atom double, num_atoms int"
 
@@ -83,6 +83,23 @@ def test_subsets_cover_rare_kinds(spark):
     assert any(1000 <= r < 2000 for r in per[1]) and 2000 in per[1] and 2000 in per[5]
 
 
+def test_subsets_take_every_pattern_before_copies(spark):
+    # 90 rare config types beside 3,000 records of one: each rare kind needs a slot of its own
+    data = [(i, "a", {"Fe": 1.0}, "bulk", -1.0, 4) for i in range(3000)] + [(5000 + i, "a", {"Fe": 1.0}, f"rare | kind{i}", -1.0, 4) for i in range(90)]
+    asks = [{"params_id": 1, "n_samples": 91, "strategy": "global", "source": None}, {"params_id": 2, "n_samples": 95, "strategy": "element_set", "source": "a"}, {"params_id": 3, "n_samples": 40, "strategy": "global", "source": None}]
+    rows = varied_subsets(spark.createDataFrame(data, AUDIT).repartition(3), asks, clusters=4, chunk_rows=16).collect()
+    per = {k: {r.record_id for r in rows if r.params_id == k} for k in (1, 2, 3)}
+    assert {k: len(v) for k, v in per.items()} == {1: 91, 2: 95, 3: 40} and len(rows) == 226
+    assert all(len([x for x in per[k] if x >= 5000]) == 90 for k in (1, 2))
+    assert len([x for x in per[3] if x < 5000]) <= 1  # no copies while patterns are open
+
+
+def test_level_and_farthest():
+    assert level(np.array([1, 5, 100]), np.array([10, 2, 1]), 24) == (4, 2) and level(np.array([3]), np.array([2]), 99) == (3, 0)
+    assert level(np.array([3]), np.array([4]), 3) == (0, 3)
+    assert farthest(np.array([[0.0], [0.1], [5.0], [9.0], [0.1]]), 3).tolist()[1:] in ([3, 0], [0, 3]) and len(set(farthest(np.zeros((4, 2)), 9))) == 4
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(["w"] * int(rng.expovariate(0.05)))) for i in range(400)] + [(900, None), (901, ""), (902, "x " * 250), (903, "y!" * 50), (904, "z " * 200)]
