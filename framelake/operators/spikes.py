@@ -6,7 +6,10 @@ measurement becomes a daily profile matrix - one row per day and repeat, one
 column per hour - which robust principal components (principal component
 pursuit) split into a low-rank part, the source's normal behaviour, and a
 sparse part.  Readings close to the low-rank part are the ordinary core; all
-others are candidates.  Constant runs and ranges are tested separately:
+others are candidates.  A block with fewer than ``min_core`` readings has no core
+of its own: its readings are candidates of their source, or, if no block of the
+source is large enough, they are pooled and the core is that of the pool.
+Constant runs and ranges are tested separately:
 
 * runs are found per block and stitched over block borders from per-block
   head and tail lengths only;
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from framelake.runtime import materialize
 
 HOURS = 24
-_OUT = "source string, field int, kind int, record_id bigint, value double, block bigint, head bigint, tail bigint, lo double, hi double, n bigint"
+_OUT = "source string, field int, kind int, record_id bigint, value double, block bigint, head bigint, tail bigint, lo double, hi double"
 _NAMES = [part.split()[0] for part in _OUT.split(", ")]
-_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-CASE_INVALID, CASE_STUCK, CANDIDATE, PENDING, CORE, CHAIN = range(6)
+_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+CASE_INVALID, CASE_STUCK, CANDIDATE, PENDING, CORE, CHAIN, LOOSE = range(7)
 
 
 def robust_components(m: np.ndarray, known: np.ndarray, steps: int = 18) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ def robust_components(m: np.ndarray, known: np.ndarray, steps: int = 18) -> tupl
 
 def ordinary_core(v: np.ndarray, day: np.ndarray, hour: np.ndarray) -> np.ndarray:
     """Mask of the readings that lie close to the block's normal behaviour."""
-    n = len(v)
+    n, day = len(v), day - day.min(initial=0)
     if n < 4:
         return np.abs(v - np.median(v)) <= np.median(np.abs(v - np.median(v))) if n else np.zeros(0, bool)
     mid = np.median(v)
@@ -97,12 +100,12 @@ def _close(a: np.ndarray, b: np.ndarray, tol: float) -> np.ndarray:
         return np.abs(a - b) <= tol * np.maximum(np.abs(a), np.abs(b))
 
 
-def _block_function(signed: tuple[bool, ...], run: int, tol: float):
+def _block_function(signed: tuple[bool, ...], run: int, tol: float, min_core: int):
     def examine(key: tuple, t: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in _NAMES]
         source, block, placed = (x.as_py() for x in key)
 
-        def emit(field: int, kind: int, ids=(), values=(), seg: int | None = None, **one) -> None:
+        def emit(field: int, kind: int, ids=(), values=(), seg: int | None = None, each: dict | None = None, **one) -> None:
             n = max(len(ids), 1) if one else len(ids)
             cols = {"source": source, "field": field, "kind": kind, "block": block, "head": seg, **one}
             for name, acc in zip(_NAMES, out):
@@ -110,6 +113,8 @@ def _block_function(signed: tuple[bool, ...], run: int, tol: float):
                     acc.append(pa.array(ids, pa.int64()))
                 elif name == "value" and len(values):
                     acc.append(pa.array(values, pa.float64()))
+                elif each and name in each:
+                    acc.append(pa.array(each[name], _TYPES[_NAMES.index(name)]))
                 else:
                     acc.append(pa.array([cols.get(name)] * n, _TYPES[_NAMES.index(name)]))
 
@@ -122,7 +127,6 @@ def _block_function(signed: tuple[bool, ...], run: int, tol: float):
         sec = np.interp(np.arange(len(sec)), good, sec[good]) if len(good) else np.zeros(len(sec))
         day = np.floor(sec / 86400).astype(np.int64)
         hour = np.floor(sec / 3600).astype(np.int64) - day * 24
-        day -= day.min() if len(day) else 0
         for k, neg in enumerate(signed):
             col = t[f"f{k}"]
             there = ~col.is_null().to_numpy(zero_copy_only=False)[order]
@@ -131,6 +135,7 @@ def _block_function(signed: tuple[bool, ...], run: int, tol: float):
             n = len(v)
             if not n:
                 continue
+            place = lambda at, p=p, d=d, h=h: {"lo": p[at], "hi": (d[at] * HOURS + h[at]).astype(float)}
             bad = ~np.isfinite(v) | (v < 0 if not neg else False)
             emit(k, CASE_INVALID, ids[bad], v[bad])
             stuck, pending = np.zeros(n, bool), np.zeros(n, int)
@@ -148,19 +153,34 @@ def _block_function(signed: tuple[bool, ...], run: int, tol: float):
             emit(k, CASE_STUCK, ids[stuck & ~bad], v[stuck & ~bad])
             for seg in (1, 2):
                 m = pending == seg
-                emit(k, PENDING, ids[m], v[m], seg=seg)
+                emit(k, PENDING, ids[m], v[m], seg=seg, each=place(m))
             rest = np.flatnonzero(~bad & ~stuck & (pending == 0))
-            if len(rest):
+            if len(rest) < min_core:
+                emit(k, LOOSE, ids[rest], v[rest], each=place(rest))
+            else:
                 core = ordinary_core(v[rest], d[rest], h[rest])
                 emit(k, CANDIDATE, ids[rest][~core], v[rest][~core])
                 c = v[rest][core]
-                if len(c):
-                    emit(k, CORE, lo=float(c.min()), hi=float(c.max()), n=len(rest))
+                emit(k, CORE, lo=float(c.min()), hi=float(c.max()))
         return pa.table({n: pa.concat_arrays(a) if a else pa.array([], ty) for n, a, ty in zip(_NAMES, out, _TYPES)})
 
     return examine
 
 
+def _pool(key: tuple, t: pa.Table) -> pa.Table:
+    """Core and candidates of one source's readings from blocks too small for a core; ``lo`` is the position, ``hi`` the hour."""
+    v, rid, pos, cell = (t[c].to_numpy() for c in ("value", "record_id", "lo", "hi"))
+    order = np.lexsort((rid, pos))
+    v, rid, cell = v[order], rid[order], cell[order].astype(np.int64)
+    core = ordinary_core(v, cell // HOURS, cell % HOURS)
+    c, n = v[core], int((~core).sum())
+    one = {"source": key[0].as_py(), "field": key[1].as_py(), "block": key[2].as_py()}
+    rows = {name: [one.get(name)] * (n + 1) for name in _NAMES}
+    rows |= {"kind": [CANDIDATE] * n + [CORE], "record_id": [*rid[~core].tolist(), None], "value": [*v[~core].tolist(), None]}
+    rows |= {"lo": [None] * n + [float(c.min())], "hi": [None] * n + [float(c.max())]}
+    return pa.table({name: pa.array(rows[name], ty) for name, ty in zip(_NAMES, _TYPES)})
+
+
 def _widen(key: tuple, t: pa.Table) -> pa.Table:
     """Fixed point of one source's ordinary range over its bucketed candidates."""
     lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
@@ -210,12 +230,15 @@ def implausible_readings(
         (F.unix_micros(F.col(f"`{recorded_at}`").cast("timestamp")) / F.lit(1e6)).alias("sec"),
         *(F.col(f"`{f}`").cast("double").alias(f"f{k}") for k, f in enumerate(names)),
     ).dropDuplicates(["record_id"])
-    # records without a position are spread over blocks of their own
-    block = F.coalesce(F.floor(F.col("pos") / block_rows), F.pmod(F.xxhash64("record_id"), F.lit(4096)))
+    # records without a position are spread over blocks of their own, as many as they fill; a row per source, so it may be broadcast
+    free = df.where(pos.isNull()).groupBy(F.col(f"`{source}`").cast("string").alias("s")).agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    block = F.coalesce(F.floor(F.col("pos") / block_rows), F.pmod(F.xxhash64("record_id"), F.col("blocks")))
     found = materialize(
-        rows.withColumn("placed", F.col("pos").isNotNull()).withColumn("block", block)
+        rows.withColumn("placed", F.col("pos").isNotNull())
+        .join(F.broadcast(free), ~F.col("placed") & F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        .withColumn("block", block).drop("blocks")
         .groupBy("source", "block", "placed")
-        .applyInArrow(_block_function(tuple(fields.values()), min_run, tolerance), _OUT),
+        .applyInArrow(_block_function(tuple(fields.values()), min_run, tolerance, min_core), _OUT),
         "spikes",
     )
     by = Window.partitionBy("source", "field").orderBy("block", "seg")
@@ -237,20 +260,31 @@ def implausible_readings(
     long_runs = runs.where(F.col("total") >= min_run).select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("block").alias("b"), "seg")
     pending = found.where(F.col("kind") == PENDING)
     on = pending["source"].eqNullSafe(long_runs["s"]) & (pending["field"] == long_runs["f"]) & (pending["block"] == long_runs["b"]) & (pending["head"] == long_runs["seg"])
-    open_ = pending.join(long_runs, on, "left").select("source", "field", "record_id", "value", F.col("seg").isNotNull().alias("stuck"))
+    open_ = pending.join(long_runs, on, "left").select("source", "field", "record_id", "value", F.col("seg").isNotNull().alias("stuck"), "lo", "hi")
 
-    readings = found.where(F.col("kind") == CANDIDATE).select("source", "field", "record_id", "value", F.lit(False).alias("stuck")).unionByName(open_)
-    cores = found.where(F.col("kind") == CORE).withColumn("most", F.max("n").over(Window.partitionBy("source", "field")))
-    cores = cores.where(F.col("n") >= F.least(F.col("most"), F.lit(min_core))).groupBy("source", "field").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # readings without a block's judgement: of small blocks, and of short runs at a block's border
+    loose = found.where(F.col("kind") == LOOSE).select("source", "field", "record_id", "value", F.lit(False).alias("stuck"), "lo", "hi").unionByName(open_.where(~F.col("stuck")))
+    whole = found.where(F.col("kind") == CORE).select(F.col("source").alias("s"), F.col("field").alias("f")).distinct()
+    alone = loose.groupBy("source", "field").agg(F.ceil(F.count("*") / max(block_rows, 16 * min_core)).alias("parts"))
+    alone = alone.join(whole, alone["source"].eqNullSafe(whole["s"]) & (alone["field"] == whole["f"]), "left_anti").withColumnsRenamed({"source": "s", "field": "f"})
+    same = loose["source"].eqNullSafe(alone["s"]) & (loose["field"] == alone["f"])
+    pools = loose.join(alone, same).withColumn("block", F.pmod(F.xxhash64("record_id"), F.col("parts"))).select("source", "field", "block", "record_id", "value", "lo", "hi")
+    pooled = materialize(pools.groupBy("source", "field", "block").applyInArrow(_pool, _OUT), "spike-pools")
+    candidate = found.where(F.col("kind") == CANDIDATE).unionByName(pooled.where(F.col("kind") == CANDIDATE)).select("source", "field", "record_id", "value", F.lit(False).alias("stuck"))
+    readings = candidate
+    for part in (loose.join(alone, same, "left_anti"), open_.where(F.col("stuck"))):
+        readings = readings.unionByName(part.drop("lo", "hi"))
+    cores = found.where(F.col("kind") == CORE).unionByName(pooled.where(F.col("kind") == CORE))
+    cores = cores.groupBy("source", "field").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def with_core(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.withColumnsRenamed({"source": "s", "field": "f"})
         return left.join(r, left["source"].eqNullSafe(r["s"]) & (left["field"] == r["f"])).drop("s", "f")
 
-    loose = with_core(readings.where(~F.col("stuck")), cores).withColumn("bucket", _bucket(F.col("value"), F.col("lo"), F.col("hi")))
+    open_readings = with_core(readings.where(~F.col("stuck")), cores).withColumn("bucket", _bucket(F.col("value"), F.col("lo"), F.col("hi")))
     # with a core of no width every other value keeps a bucket of its own sign
     flat = F.when(F.col("bucket").isNull(), F.signum(F.col("value") - F.col("lo")))
-    packed = loose.groupBy("source", "field", "bucket", flat.alias("flat")).agg(F.min("value").alias("least"), F.max("value").alias("most"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    packed = open_readings.groupBy("source", "field", "bucket", flat.alias("flat")).agg(F.min("value").alias("least"), F.max("value").alias("most"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     packed = packed.select("source", "field", "least", "most", "lo", "hi").unionByName(
         cores.select("source", "field", F.col("lo").alias("least"), F.col("hi").alias("most"), "lo", "hi")
     )

@@ -59,3 +59,18 @@ def test_empty_null_position_and_null_source(spark, normal):
     assert found(spark, []) == {}
     data = [(r[0], None, None, *r[3:]) for r in rows([1.0] * 10)]
     assert found(spark, data) == {}
+
+
+def test_small_blocks_are_judged(spark, normal):
+    # records without a position, beside positioned ones and alone
+    v = list(normal)
+    v[150], v[399] = 900.0, 800.0
+    unplaced = lambda data: [(r[0], r[1], None, *r[3:]) for r in data]
+    data = rows(v)
+    assert found(spark, data[:100] + unplaced(data[100:])) == {(150, "max_force"): "spike", (399, "max_force"): "spike"}
+    assert found(spark, unplaced(data)) == {(150, "max_force"): "spike", (399, "max_force"): "spike"}
+    # the tail block holds two readings
+    assert found(spark, data, block_rows=398) == {(150, "max_force"): "spike", (399, "max_force"): "spike"}
+    # positions so far apart that every block holds one reading
+    sparse = [(r[0], r[1], r[2] * 10_000, *r[3:]) for r in data]
+    assert found(spark, sparse) == {(150, "max_force"): "spike", (399, "max_force"): "spike"}
