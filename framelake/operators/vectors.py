@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,31 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda s, d: s + d))
 
 
+def pairwise_distances(df: DataFrame, key: str, vec: str, block_rows: int = 256) -> DataFrame:
+    """``i, j, d`` for every ordered pair of rows, a pair of blocks at a time; the distance to a null vector is null."""
+    spark = df.sparkSession
+    n = max(1, -(-df.count() // block_rows))
+    blocks = df.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v")).groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("block"))
+    blocks = blocks.agg(F.collect_list(F.struct("k", "v")).alias("rows"))
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for left, right in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+                x = [r["v"] for r in left]
+                j, others = np.array([r["k"] for r in right]), [r["v"] for r in right]
+                there = np.array([v is not None for v in others])
+                y = np.array([v for v in others if v is not None])
+                for r, v in zip(left, x):
+                    d = np.zeros(len(j))
+                    if v is not None and len(y):
+                        d[there] = np.sqrt(((y - np.array(v)) ** 2).sum(1))
+                    gone = ~there if v is not None else np.ones(len(j), bool)
+                    yield pa.record_batch({"i": np.full(len(j), r["k"]), "j": j, "d": pa.array(d, pa.float64(), mask=gone)})
+
+    left = blocks.select(F.col("rows").alias("a")).repartition(min(n, 3 * spark.sparkContext.defaultParallelism))
+    return left.crossJoin(blocks.select(F.col("rows").alias("b"))).mapInArrow(distances, "i bigint, j bigint, d double")
+
+
 def principal_variances(df: DataFrame, vec: str, k: int) -> DataFrame:
     """``component, variance`` of the first ``k``: one pass for the moments, the matrix is dims x dims."""
     pairs = df.select(F.posexplode(vec).alias("i", "x"), F.col(vec).alias("v")).select("i", F.col("x").cast("double").alias("x"), F.posexplode("v").alias("j", "y"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framelake.functions.expression import compile_predicate
 from framelake.operators.cells import supercell
 from framelake.operators.filters import combine, element_condition, index_positions, parse_elements, tag_groups, text_condition
-from framelake.operators.vectors import distance, farthest_points, principal_variances, sqrt_quotas
+from framelake.operators.vectors import distance, farthest_points, pairwise_distances, principal_variances, sqrt_quotas
 from framelake.runtime import read_table
 
 QUERIES: dict = {}
@@ -292,6 +292,12 @@ def t11_distances(t):
     return e.join(F.broadcast(few)).select(F.col("vec_id").alias("i"), "j", F.round(distance(F.col("embedding"), F.col("other")), 5).alias("d"))
 
 
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings b")
+def t11_all_distances(t):
+    """Distances of all pairs of vectors."""
+    return pairwise_distances(t("embeddings"), "vec_id", "embedding").withColumn("d", F.round("d", 5))
+
+
 @query()
 def t3_farthest_points(t):
     e = t("embeddings")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from framelake.functions.expression import ExpressionError, compile_predicate
 from framelake.operators.cells import bain_path, determinant, shear, strain
 from framelake.operators.filters import combine, element_condition, index_positions, parse_elements, text_condition
-from framelake.operators.vectors import farthest_points, principal_variances, sqrt_quotas
+from framelake.operators.vectors import farthest_points, pairwise_distances, principal_variances, sqrt_quotas
 
 FRAMES = [("surface_relax", "Fe2O3", ["Fe", "O"]), ("bulk", "FeO", ["Fe", "O"]), ("surface_h", "FeOH", ["Fe", "O", "H"]), ("molecule", "H2O", ["H", "O"]), (None, "FeOC", ["Fe", "O", "C"])]
 
@@ -63,6 +63,14 @@ def test_vectors(spark):
     assert sum(sqrt_quotas({"a": 100, "b": 1, "c": 25}, 20).values()) == 20
 
 
+def test_distances_of_all_pairs(spark):
+    x = np.random.default_rng(5).normal(size=(23, 3))
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (99, None)], "id int, v array<float>")
+    got = {(r.i, r.j): r.d for r in pairwise_distances(df, "id", "v", block_rows=5).collect()}
+    assert len(got) == 24 * 24 and all((d is None) == (99 in k) for k, d in got.items())
+    assert all(abs(d - np.linalg.norm(x[i] - x[j])) < 1e-5 for (i, j), d in got.items() if d is not None)
+
+
 def test_cells_keep_what_they_should(spark):
     df = spark.createDataFrame([(1, [[2.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.5, 0.0, 3.0]])], "id int, lattice array<array<double>>")
     volume = determinant(F.col("lattice")).alias("v")
