@@ -198,3 +198,36 @@ def descendants(nodes: DataFrame) -> DataFrame:
     """Every (ancestor, descendant) pair with its distance, from the paths of :func:`hierarchy`."""
     pairs = nodes.where(F.col("depth") > 0).select("tree", "node_id", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth").cast("int"))).alias("at", "ancestor_id"))
     return pairs.select("tree", "ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def _loop_pairs(edges: DataFrame) -> DataFrame:
+    """``tree, ancestor_id, descendant_id, distance`` inside loops, a node as its own ancestor included, by doubling the reach."""
+    reach, known = materialize(edges.select("tree", F.col("parent").alias("ancestor_id"), F.col("node").alias("descendant_id"), F.lit(1).cast("bigint").alias("distance")), "loop-pairs"), -1
+    while (n := reach.count()) != known:
+        known = n
+        further = reach.select("tree", F.col("descendant_id").alias("from"), F.col("ancestor_id").alias("to"), "distance")
+        up = reach.select("tree", F.col("descendant_id").alias("to"), F.col("ancestor_id").alias("top"), F.col("distance").alias("more"))
+        joined = further.join(up, ["tree", "to"]).select("tree", F.col("top").alias("ancestor_id"), F.col("from").alias("descendant_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        reach = materialize(reach.unionByName(joined).groupBy("tree", "ancestor_id", "descendant_id").agg(F.min("distance").alias("distance")), "loop-pairs")
+    return reach
+
+
+def all_descendants(df: DataFrame, *, id: str = "id", parent: str = "parent_id", tree: Column | None = None, finish_rows: int = 50_000) -> DataFrame:
+    """Like :func:`descendants`, and also the pairs of nodes on loops and below them, with the shortest distance.
+
+    A loop's nodes are ancestors of each other and of themselves, and of all that
+    hangs below the loop.
+    """
+    rows = df.select((tree if tree is not None else F.lit("")).alias("tree"), F.col(f"`{id}`").cast("bigint").alias("node"), F.nullif(F.col(f"`{parent}`").cast("bigint"), F.lit(0)).alias("parent"))
+    rows = rows.where(F.col("node").isNotNull()).groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    nodes = materialize(hierarchy(rows, id="node", parent="parent", tree=F.col("tree"), finish_rows=finish_rows), "tree-nodes")
+    odd = materialize(rows.join(nodes.where(F.col("status") != "tree").select("tree", F.col("node_id").alias("node"), "status"), ["tree", "node"]), "tree-loops")
+    on_loop = F.col("status") == "on_loop"
+    loops = _loop_pairs(odd.where(on_loop))
+    # with their loop's edges cut, the nodes below hang from the loop's nodes as from roots
+    cut = odd.select("tree", "node", F.when(~on_loop, F.col("parent")).alias("parent"))
+    below = materialize(hierarchy(cut, id="node", parent="parent", tree=F.col("tree"), finish_rows=finish_rows), "tree-below")
+    entry = below.where(F.col("depth") > 0).select("tree", F.col("root_id").alias("root"), "node_id", "depth")
+    around = loops.where(F.col("ancestor_id") != F.col("descendant_id")).select("tree", F.col("descendant_id").alias("root"), "ancestor_id", "distance")
+    around = entry.join(around, ["tree", "root"]).select("tree", "ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("depth") + F.col("distance")).alias("distance"))
+    return descendants(nodes).unionByName(descendants(below)).unionByName(loops).unionByName(around)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.hierarchy import descendants, hierarchy
+from framelake.operators.hierarchy import all_descendants, descendants, hierarchy
 from framelake.operators.spikes import AUDIT_FIELDS, implausible_readings
 from framelake.runtime import read_table
 
@@ -43,7 +43,12 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(hierarchy(_trees(spark, sf_dir), tree=F.col("tree")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ordinary_ranges": p1_ordinary_ranges, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants}
+def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of ancestor and descendant with its shortest distance, on and below loops too."""
+    return all_descendants(_trees(spark, sf_dir), tree=F.col("tree"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ordinary_ranges": p1_ordinary_ranges, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants}
 
 _EDGES = """
 n AS (SELECT tree, id, min(nullif(parent_id, 0)) AS p FROM (
@@ -66,4 +71,8 @@ ORACLE = {
         u AS (SELECT tree, id, p AS a, 1::BIGINT AS distance FROM e WHERE p IS NOT NULL AND (tree, id) IN (SELECT (tree, id) FROM d)
               UNION ALL SELECT u.tree, u.id, e.p, u.distance + 1 FROM u JOIN e ON e.tree = u.tree AND e.id = u.a WHERE e.p IS NOT NULL)
         SELECT tree, a AS ancestor_id, id AS descendant_id, distance FROM u""",
+    "p5_all_descendants": f"""WITH RECURSIVE {_EDGES}
+        w AS (SELECT tree, id, p AS a, 1::BIGINT AS distance, [p] AS seen FROM e WHERE p IS NOT NULL
+              UNION ALL SELECT w.tree, w.id, e.p, w.distance + 1, list_append(w.seen, e.p) FROM w JOIN e ON e.tree = w.tree AND e.id = w.a WHERE e.p IS NOT NULL AND NOT list_contains(w.seen, e.p))
+        SELECT tree, a AS ancestor_id, id AS descendant_id, distance FROM w""",
 }

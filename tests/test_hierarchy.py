@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from framelake.operators.hierarchy import descendants, hierarchy
+from framelake.operators.hierarchy import all_descendants, descendants, hierarchy
 
 
 def brute(parents):
@@ -40,5 +40,23 @@ def test_random_forest_with_loops(spark, finish_rows):
     assert pairs == {(a, k, len(p) - 1 - i) for k, (_, p) in want.items() if p for i, a in enumerate(p[:-1])}
 
 
+@pytest.mark.parametrize("finish_rows", [0, 1000])
+def test_all_descendants_reach_below_loops(spark, finish_rows):
+    parents = {1: None, 2: 1, 3: 2, 4: 77}  # a tree and a missing parent
+    parents |= {10: 11, 11: 12, 12: 13, 13: 14, 14: 10, 20: 11, 21: 20, 22: 21, 23: 20, 30: 30, 31: 30, 32: 31}
+    want = set()
+    for k in parents:
+        c, n, seen = k, 0, set()
+        while (p := parents[c]) in parents and p not in seen:
+            n += 1
+            seen.add(p)
+            want.add((p, k, n))
+            c = p
+    data = [(k, p) for k, p in parents.items()] + [(21, 20), (None, 3)]
+    got = all_descendants(spark.createDataFrame(data, "id bigint, parent_id bigint"), finish_rows=finish_rows).collect()
+    assert {(r.ancestor_id, r.descendant_id, r.distance) for r in got} == want and len(got) == len(want)
+    assert {(20, 22, 2), (11, 22, 3), (10, 10, 5), (30, 30, 1), (30, 32, 2)} <= want
+
+
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "id bigint, parent_id bigint")).count() == 0
