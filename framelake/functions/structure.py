@@ -51,6 +51,13 @@ def virial(virial_: Column, stress: Column, lattice: Column) -> Column:
 
 
 def append_tag(tags: Column, tag: str, limit: int = 200) -> Column:
-    """Tags split at blanks and bars, distinct, with ``tag`` added, cut to ``limit`` characters."""
+    """Tags split at blanks and bars, distinct, with ``tag`` added; beyond ``limit`` characters (if above 0) the first and last tag with ``...+k`` for those between."""
     parts = F.filter(F.split(F.coalesce(tags, F.lit("")), r"[\s|]+"), lambda t: t != "")
-    return F.substring(F.array_join(F.array_distinct(F.concat(parts, F.array(F.lit(tag)))), "|"), 1, limit)
+    parts = F.array_distinct(F.concat(parts, F.array(F.lit(tag))))
+    whole = F.array_join(parts, "|")
+    if limit <= 0:
+        return whole
+    n, last = F.size(parts), F.element_at(parts, -1)
+    head = F.when(n >= 3, F.concat(parts[0], F.lit("|...+"), (n - 2).cast("string"), F.lit("|"))).when(n == 2, F.concat(parts[0], F.lit("|"))).otherwise("")
+    # only the last tag is cut, unless what stands before it is too long already
+    return F.when(F.length(whole) <= limit, whole).otherwise(F.substring(F.concat(head, last), 1, limit))

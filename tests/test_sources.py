@@ -64,3 +64,12 @@ def test_structure_columns(spark):
     r = df.select(formula(F.col("s")).alias("f"), volume(F.col("l")).alias("v"), lengths(F.col("l")).alias("abc"), angles(F.col("l")).alias("ang"), virial(F.lit(None).cast("array<double>"), F.col("t"), F.col("l")).alias("w"), append_tag(F.lit("a|b a"), "c").alias("tag")).first()
     assert (r.f, r.v, r.tag) == ("CH2OFe", 36.0, "a|b|c") and r.w == [-36.0, -72.0]
     assert np.allclose(r.abc, [3, 4, 18**0.5]) and np.allclose(r.ang, [45, 90, 90])
+
+
+def test_long_tag_lists_keep_first_and_last(spark):
+    one = lambda tags, tag, limit: spark.range(1).select(append_tag(F.lit(tags), tag, limit).alias("t")).first().t
+    long = " ".join(f"tag{i:03}" for i in range(60))
+    assert one(long, "new", 200) == "tag000|...+59|new"
+    assert one("a" * 8 + " b", "c" * 30, 20) == "aaaaaaaa|...+1|ccccc"
+    assert one("a", "c" * 30, 10) == "a|cccccccc" and one("a b", "b", 10) == "a|b" and one(None, "x" * 9, 4) == "xxxx"
+    assert one(long, "new", 0) == long.replace(" ", "|") + "|new"
