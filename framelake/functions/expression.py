@@ -75,7 +75,7 @@ def compile_predicate(text: str, fields: Mapping[str, Column] | Callable[[str],
             a, b = number(node.left), number(node.right)
             for kind, result in ((ast.Add, a + b), (ast.Sub, a - b), (ast.Mult, a * b), (ast.Div, _divide(a, b))):
                 if isinstance(node.op, kind):
-                    return result
+                    return _present(result)  # inf - inf and the like are missing too
         raise ExpressionError(f"not a number: {ast.unparse(node)}")
 
     def test(node: ast.AST) -> Column:

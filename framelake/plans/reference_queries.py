@@ -49,6 +49,11 @@ def _structures(t) -> DataFrame:
     )
 
 
+def _as_elements():
+    """Return flags A, N and R as the elements H, N and B."""
+    return F.transform("elements", lambda e: F.when(e == "A", "H").when(e == "R", "B").otherwise(e))
+
+
 @query("SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' AND o_totalprice > 200000")
 def f1_composite_all(t):
     o = t("orders")
@@ -68,12 +73,12 @@ def f2_text_modes(t):
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag='R' THEN 1 END) > 0 AND count(CASE WHEN l_returnflag='A' THEN 1 END) = 0")
 def f3_required_excluded(t):
-    return _structures(t).where(element_condition(F.col("elements"), required=["R"], excluded=["A"])).select("l_orderkey")
+    return _structures(t).where(element_condition(_as_elements(), required=["B"], excluded=["H"])).select("l_orderkey")
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag NOT IN ('R','N') THEN 1 END) = 0")
 def f4_element_query(t):
-    return _structures(t).where(element_condition(F.col("elements"), **parse_elements("R,N"))).select("l_orderkey")
+    return _structures(t).where(element_condition(_as_elements(), **parse_elements("B,N"))).select("l_orderkey")
 
 
 @query("SELECT doc_id FROM documents WHERE (lang LIKE '%en%' OR lang LIKE '%de%') AND NOT (source LIKE '%board%')")

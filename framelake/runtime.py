@@ -25,9 +25,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; a fresh local one only if none is set."""
+    """Folder for intermediate tables; a fresh local one only in local mode, where it is shared by all tasks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.sparkContext.setCheckpointDir(where)
         _created.append(where)
@@ -53,6 +55,15 @@ def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far, in any file system; their DataFrames cannot be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    for path in reversed(_created):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _created.clear()
+
+
 @atexit.register
 def _clean() -> None:
     for path in reversed(_created):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.expression import ExpressionError, compile_predicate
 from framelake.operators.cells import bain_path, determinant, shear, strain
-from framelake.operators.filters import combine, element_condition, index_positions, parse_elements, text_condition
+from framelake.operators.filters import Condition, FilterError, FilterSpec, Presets, combine, element_condition, index_positions, parse_elements, search, tag_groups, text_condition
 from framelake.operators.vectors import farthest_points, pairwise_distances, principal_variances, sqrt_quotas
 
 FRAMES = [("surface_relax", "Fe2O3", ["Fe", "O"]), ("bulk", "FeO", ["Fe", "O"]), ("surface_h", "FeOH", ["Fe", "O", "H"]), ("molecule", "H2O", ["H", "O"]), (None, "FeOC", ["Fe", "O", "C"])]
@@ -36,6 +36,7 @@ def test_elements_and_combination(frames):
 
 @pytest.mark.parametrize("text, want", [
     ("x > 1", [2]), ("not (x > 1)", [0, 1, 3]), ("x != 2", [0, 1, 3]), ("0 <= x <= 1", [0]), ("x / 0 > 5", [2, 0]), ("x == 1 || !(x < 9)", [0, 1, 3]), ("has_x AND x + 1 * 2 >= 3", [0, 2]),
+    ("x / 0 - x / 0 > 5", []), ("x / 0 * 0 == x / 0 * 0", []), ("x / 0 * 0 != x", [0, 1, 2, 3]),
 ])
 def test_expressions(spark, text, want):
     df = spark.createDataFrame([(0, 1.0), (1, None), (2, 2.0), (3, float("nan"))], "id int, x double")
@@ -52,12 +53,47 @@ def test_index_expression(spark):
     df = spark.range(10).select(F.col("id").cast("int").alias("id"))
     assert ids(index_positions(df, ["id"], "1:6:2, -2:, 8, bad")) == [1, 3, 5, 8, 9]
     assert ids(index_positions(df, ["id"], ":3")) == [0, 1, 2]
+    for text in ("-", "8:2:-3, 5:5", "::-4", "-3:", "12, -11", "a:b", "", ":", "20:", "-20:2"):
+        want = set()
+        for t in text.replace(",", " ").split():
+            try:
+                want |= set(list(range(10))[slice(*(int(p) if p else None for p in t.split(":")))]) if ":" in t else {range(10)[int(t)]}
+            except (ValueError, IndexError):
+                continue
+        assert ids(index_positions(df, ["id"], text)) == sorted(want), text
+
+
+def test_index_expression_on_wide_rows(spark):
+    df = spark.range(0, 200_000, numPartitions=8).withColumn("t", F.repeat(F.lit("x"), 200))
+    assert ids(index_positions(df, ["id"], "-5:, 50000,100000")) == [50000, 100000, *range(199995, 200000)]
+
+
+def test_filter_specifications(frames, spark):
+    cols = {"config_type": F.col("tag"), "formula": F.col("formula"), "elements": F.col("elements")}
+    run = lambda *c, how="all": ids(frames.where(FilterSpec(c, how).compile(cols, {"n": F.size("elements")})))
+    assert run(Condition("formula", ("feo",))) == [1] and run(Condition("formula", ("feo",), case=True)) == []
+    assert run(Condition("config_type", ("SURF",)), Condition("element_excluded", ("h",))) == [0]
+    assert run(Condition("element_required", ("c",)), Condition("expression", ("n < 2",)), how="any") == [4]
+    assert run(Condition("config_type", ("bulk",), enabled=False), Condition("element_allowed", ("H", "O"))) == [3]
+    for bad, code in ((Condition("formula", ("x",), enabled=False), "empty_condition"), (Condition("formula", (" ",)), "empty_condition"), (Condition("element_required", ("Qq",)), "unknown_element"),
+                      (Condition("config_type", ("(",), "regex"), "invalid_regex"), (Condition("colour", ("x",)), "unsupported_operator"), (Condition("formula", ("x",), "like"), "unsupported_operator")):
+        with pytest.raises(FilterError) as e:
+            run(bad)
+        assert e.value.code == code
+    book = Presets()
+    book.save("a", FilterSpec((Condition("formula", ("FeO",)),)))
+    book.rename("a", "b")
+    assert book.names() == ["b"] and book.load("b") == FilterSpec((Condition("formula", ("FeO",)),)) and book.delete("b") and not book.delete("b")
+    unknown = []
+    assert parse_elements("+fe, !H qq O", unknown) == {"required": ["Fe"], "excluded": ["H"], "allowed": ["O"]} and unknown == ["qq"]
+    assert ids(search(frames, "^surf", tag="tag")) == [0, 2] and ids(search(frames, "(", tag="tag")) == [] and ids(search(frames, "FeO$", "formula")) == [1] and ids(search(frames, "+C", "elements")) == [4]
+    assert ids(frames.where(tag_groups(F.col("tag"), []))) == [] and ids(frames.where(tag_groups(F.col("tag"), [("any", [("", False)]), ("all", [("surf", True)])]))) == [1, 3, 4]
 
 
 def test_vectors(spark):
     x = np.array([[0, 0], [1, 0], [5, 0], [5, 4], [0, 0]], float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
-    assert farthest_points(df, "id", "v", 9) == [0, 3, 2, 1]
+    assert farthest_points(df, "id", "v", 9) == [0, 3, 2, 1]  # the repeat of the first lies below the least distance
     got = [r.variance for r in principal_variances(df, "v", 2).orderBy("component").collect()]
     assert np.allclose(got, np.linalg.eigvalsh(np.cov(x.T))[::-1])
     assert sum(sqrt_quotas({"a": 100, "b": 1, "c": 25}, 20).values()) == 20
