@@ -66,13 +66,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked items of each document, with the place in the original text."""
+    """Each leaked passage, with its item and its place in the original text."""
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an item."""
-    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
