@@ -2,17 +2,22 @@
 
 Texts are cut into sentences; markup, headers, logs and number dumps are left
 out and digits dropped.  The document-term matrix over words and word pairs
-(Chinese: character pairs and triples) is factored with one anchored component
-per subject, seeded by the readers' labels: alternating multiplicative updates
-(Kullback-Leibler) give the documents' mixtures from the terms that are specific
-for a subject, and the components from all terms.  Updates run over all
-documents in parallel; only sums per component and term reach the driver,
-bounded by ``vocabulary`` terms (the most frequent, standing three times at least).
-
-The components directly yield each sentence's subject: a specific
-word counts unless a frequent word pair it stands in is specific for nothing,
-so that a subject's word in an everyday phrase does not count.  A document treats a subject that takes at
-least a quarter of its sentences that treat any.
+(Chinese: character pairs and triples) is written once in coordinate form and
+factored with one anchored component per subject, seeded by the readers' labels:
+alternating multiplicative updates (Kullback-Leibler) give the documents'
+mixtures from the terms that are specific for a subject, and the components from
+all terms.  Updates run over all documents in parallel and read numbers only.
+
+The vocabulary holds every term that stands in at least three sentences and in
+``share`` of all: a sentence has some twenty terms, so it cannot have more than
+about ``20 / share`` of them, whatever the corpus.  Only sums per component and
+term reach the driver.
+
+The components directly yield each document's mixture and each sentence's
+subject: a specific word counts unless a frequent word pair it stands in is
+specific for nothing, so that a subject's word in an everyday phrase does not
+count.  A document treats a subject that takes at least a quarter of its
+sentences that treat any.
 
 Defined results: null, empty and blank texts treat none; labels with unknown or
 null subjects are left out; repeated labels count once; without any label the
@@ -22,7 +27,9 @@ areas' descriptions are the seeds; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,47 +43,64 @@ _NOISE = re.compile(r"^\s*(\[\d\d:\d\d|Lattice=|From:|Subject:|To:|Date:|Re:|#|`
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])")
 _ITEM = re.compile(r"^\s*(?:[>*\-•]+\s*|\d{1,2}\.\s+)+")
 _HAN = re.compile("[㐀-鿿]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d+")
 _WORD = re.compile("[a-z]{2,}")
 
 
+_SHARES = "doc_id bigint, subject string, share double, sentences bigint, mixture double"
+
 #: Weight of the labelled seeds in every pass.
 ANCHOR = 3.0
 
 
-def sentences(text: str | None) -> list[str]:
-    """Normalised sentences without digits; lines that are no prose are left out."""
+def prose(text: str | None) -> list[str]:
+    """Sentences as they stand; lines that are no prose are left out."""
     out = []
     for line in _TAG.sub("", text or "").splitlines():
         if _NOISE.search(line):
             continue
         line = _ITEM.sub("", line)
-        letters = sum(map(str.isalpha, line))
-        if letters * 2 < len(line.replace(" ", "")):
+        if len(_LETTERS.sub("", line)) * 2 > len(line.replace(" ", "")):
             continue
-        for s in _SPLIT.split(line):
-            words = fold(s.replace("-", " ")).split()
-            clean = " ".join(w for w in words if not any(c.isdigit() for c in w) or _HAN.search(w))
-            clean = re.sub(r"\d+", "", clean)
-            if clean:
-                out.append(clean)
+        out += [s for s in _SPLIT.split(line) if s]
     return out
 
 
-def slots(sentence: str) -> list[tuple[str, tuple[str, ...]]]:
-    """Each word with the pairs it stands in; each Chinese pair with the triples it stands in."""
+def sentences(text: str | None) -> list[str]:
+    """Normalised sentences without digits."""
+    # sentences hold no line breaks, so they can be folded together
+    folded = fold("\n".join(s.replace("-", " ") for s in prose(text)))
     out = []
-    for run in _HAN.findall(sentence):
-        for i in range(len(run) - 1):
-            out.append((run[i : i + 2], tuple(run[j : j + 3] for j in (i - 1, i) if 0 <= j <= len(run) - 3)))
-    words = _WORD.findall(sentence)
-    for i, w in enumerate(words):
-        out.append((w, tuple(f"{words[j]} {words[j + 1]}" for j in (i - 1, i) if 0 <= j < len(words) - 1)))
+    for s in folded.split("\n"):
+        if not s.strip():
+            continue
+        if not s.isalpha() and _DIGIT.search(s):
+            s = _DIGIT.sub("", " ".join(w for w in s.split() if not _DIGIT.search(w) or _HAN.search(w)))
+        clean = " ".join(s.split())
+        if clean:
+            out.append(clean)
     return out
 
 
+def runs(sentence: str) -> list[str]:
+    """The sentence's words as one run, and each run of Chinese characters."""
+    words = _WORD.findall(sentence)
+    han = [] if sentence.isascii() else [r for r in _HAN.findall(sentence) if len(r) > 1]
+    return ([" ".join(words)] if words else []) + han
+
+
+def links(run: str) -> tuple[list[str], list[str]]:
+    """Single terms of a run, and the terms that join each with the next."""
+    if _HAN.match(run):
+        return [run[i : i + 2] for i in range(len(run) - 1)], [run[i : i + 3] for i in range(len(run) - 2)]
+    words = run.split(" ")
+    return words, [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def terms(sentence: str) -> set[str]:
     """All terms of a sentence."""
-    return {t for w, pairs in slots(sentence) for t in (w, *pairs)}
+    return {t for r in runs(sentence) for part in links(r) for t in part}
 
 
 class Model:
@@ -86,12 +110,11 @@ class Model:
     #: seen TRUST times vetoes its words; prior weight.
     GAIN, VETO, TRUST, PRIOR = 0.2, 0.1, 8, 4.0
 
-    def __init__(self, place: dict[str, int], plain: np.ndarray, shared: np.ndarray) -> None:
+    def __init__(self, plain: np.ndarray, shared: np.ndarray) -> None:
         """``plain`` spreads each term by its documents' mixtures alone, ``shared`` by the components as well.
 
         The first shows which terms are specific (it does not reinforce chance), the second for what.
         """
-        self.place = place
         total = plain.sum(1)
         self.base = (total + 1e-9) / (total + 1e-9).sum()
         self.count = plain.sum(0)
@@ -99,68 +122,58 @@ class Model:
         self.p, p = smooth(shared), smooth(plain)
         self.gain = (p * np.log(p / self.base[:, None])).sum(0) / np.log(max(2, len(p)))
         self.h = (shared + 1e-6) / (shared + 1e-6).sum(1, keepdims=True)
-        self._known: dict[str, int | None] = {}
-
-    def sentence(self, text: str) -> int | None:
-        """The subject that ``text`` treats, if any."""
-        if text not in self._known:
-            if len(self._known) > 100_000:
-                self._known.clear()
-            score = np.zeros(len(self.base))
-            for w, pairs in slots(text):
-                own = self.place.get(w)
-                if own is None:
-                    continue
-                at = [i for i in (self.place.get(t) for t in pairs) if i is not None and self.count[i] >= self.TRUST]
-                if self.gain[own] > self.GAIN and all(self.gain[i] >= self.VETO for i in at):
-                    score += self.gain[own] * self.p[:, own]
-            self._known[text] = int(score.argmax()) if score.any() else None
-        return self._known[text]
-
-
-class Terms:
-    """Rows of term counts in coordinate form, one row per document."""
-
-    def __init__(self, place: dict[str, int]) -> None:
-        self.place, self.known = place, {}
-
-    def rows(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for d, sents in enumerate(docs):
-            for s in sents:
-                ids = self.known.get(s)
-                if ids is None:
-                    if len(self.known) > 50_000:
-                        self.known.clear()
-                    ids = self.known[s] = np.array(sorted(self.place[t] for t in terms(s) if t in self.place), np.int64)
-                rows.append(np.full(len(ids), d))
-                cols.append(ids)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return cat(rows), cat(cols)
-
-
-def update(model: Model, rows: np.ndarray, cols: np.ndarray, anchors: np.ndarray, steps: int = 6) -> np.ndarray:
-    """One alternation for a block of documents (``rows`` ascending).
+
+    def votes(self, sent: np.ndarray, own: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences (``sent`` ascending) that treat a subject, and which.
+
+        ``own`` are single terms in their order, ``link`` the term that joins each
+        with the next of its run (-1: none or not in the vocabulary).
+        """
+        # a run's last term joins nothing, so the link before a run's first is -1 as well
+        before = np.r_[-1, link[:-1]] if len(link) else link
+        clear = np.ones(len(own), bool)
+        for at in (before, link):
+            clear &= (at < 0) | (self.count[at] < self.TRUST) | (self.gain[at] >= self.VETO)
+        use = np.flatnonzero((own >= 0) & clear & (self.gain[own] > self.GAIN))
+        if not len(use):
+            return sent[:0], own[:0]
+        first = np.r_[0, np.flatnonzero(np.diff(sent[use])) + 1]
+        score = np.add.reduceat((self.gain[own[use]] * self.p[:, own[use]]).T, first)
+        return sent[use][first], score.argmax(1)
+
+
+def update(model: Model, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, anchors: np.ndarray, steps: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One alternation for a block of documents (``rows`` ascending): mixtures, terms, and the sums of the terms.
 
     Mixtures from the specific terms; then each term's share by mixtures alone and by mixtures and components.
     """
     n, k = anchors.shape
     sure = model.gain[cols] > model.GAIN
-    r, hc = rows[sure], model.h[:, cols[sure]].T
+    r, hc, own_weight = rows[sure], model.h[:, cols[sure]].T, weight[sure]
     w = np.zeros((n, k))
     if len(r):
         start = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
         own = r[start]
         v, at = anchors[own], np.repeat(np.arange(len(own)), np.diff(np.r_[start, len(r)]))
         for _ in range(steps):
-            y = np.maximum((v[at] * hc).sum(1), 1e-300)
-            v = v * (np.add.reduceat(hc / y[:, None], start) + 1e-12)
+            y = np.maximum(np.einsum("ij,ij->i", v[at], hc), 1e-300)
+            v = v * (np.add.reduceat(hc * (own_weight / y)[:, None], start) + 1e-12)
             v /= np.maximum(v.sum(1, keepdims=True), 1e-300)
         w[own] = v
-    plain = w[rows]
+    plain = w[rows] * weight[:, None]
     shared = plain * model.h[:, cols].T
     shared *= plain.sum(1, keepdims=True) / np.maximum(shared.sum(1, keepdims=True), 1e-300)
-    return np.stack([np.bincount(cols, part[:, j], len(model.place)) for part in (plain, shared) for j in range(k)])
+    return (w, *collect(cols, np.concatenate([plain, shared], axis=1)))
+
+
+def collect(cols: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and, for each, the sums of its rows of ``values``."""
+    if not len(cols):
+        return cols, values.T
+    order = np.argsort(cols, kind="stable")
+    c = cols[order]
+    first = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+    return c[first], np.add.reduceat(values[order], first).T
 
 
 def _labels(labels: DataFrame, areas: list[str]) -> DataFrame:
@@ -171,90 +184,148 @@ def _labels(labels: DataFrame, areas: list[str]) -> DataFrame:
     return rows.where(F.col("k").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("subjects"))
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, str]], *, passes: int = 3, vocabulary: int = 150_000) -> DataFrame:
-    """``doc_id, subject, share, sentences``: part of the document's treating sentences that each subject takes."""
-    names = [a for a, _ in areas]
-    k = len(names)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every element of a list column."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: float) -> tuple[DataFrame, dict[str, int]]:
+    """``doc_id, subjects, term, n, sent, own, link`` of every document with a sentence, and the vocabulary.
+
+    ``n`` counts the sentences with a term; ``sent, own, link`` are the single terms in order and what joins them.
+    """
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["doc_id"], pa.array([sentences(t.as_py()) for t in b["text"]], pa.list_(pa.string()))], ["doc_id", "sents"])
+            flat = [[(i, r) for i, s in enumerate(sentences(t.as_py())) for r in runs(s)] for t in b["text"]]
+            yield pa.record_batch([b["doc_id"], pa.array([[i for i, _ in x] for x in flat], pa.list_(pa.int32())), pa.array([[r for _, r in x] for x in flat], pa.list_(pa.string()))], ["doc_id", "at", "runs"])
 
-    prepared = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(cut, "doc_id bigint, sents array<string>").where(F.size("sents") > 0)
-    areas = [(a, t or "") for a, t in areas]
-    prepared = spread(materialize(prepared.join(_labels(labels, names), "doc_id", "left"), "subject-sentences"), "doc_id")
+    texts = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
+    cut_up = materialize(texts.mapInArrow(cut, "doc_id bigint, at array<int>, runs array<string>").where(F.size("runs") > 0), "subject-runs")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [(t, n) for s, n in zip(b["s"].to_pylist(), b["n"].to_pylist()) for t in terms(s)]
-            yield pa.record_batch([pa.array([t for t, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64())], ["term", "n"])
-
-    distinct = prepared.select(F.explode("sents").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    counted = distinct.mapInArrow(spell, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("count")).where(F.col("count") >= 3)
-    place = {r["term"]: i for i, r in enumerate(counted.orderBy(F.desc("count"), "term").limit(vocabulary).toLocalIterator())}
+            c: Counter[str] = Counter()
+            total = 0
+            for at, mine in zip(b["at"].to_pylist(), b["runs"].to_pylist()):
+                for _, group in groupby(zip(at, mine), key=lambda x: x[0]):
+                    c.update({t for _, r in group for part in links(r) for t in part})
+                    total += 1
+            c[""] = total  # the number of sentences
+            yield pa.record_batch([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
+
+    counted = materialize(cut_up.mapInArrow(spell, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("count")).where("count >= 3"), "subject-terms")
+    total = counted.where("term = ''").agg(F.max("count")).first()[0] or 0
+    kept = counted.where((F.col("term") != "") & (F.col("count") >= share * total))
+    place = {r["term"]: i for i, r in enumerate(kept.orderBy("term").toLocalIterator())}
+    shipped = spark.sparkContext.broadcast(place)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shipped.value.get
+        kinds = [pa.list_(pa.int32())] * 5
+        for b in batches:
+            out: list[list] = [[] for _ in kinds]
+            for at, mine in zip(b["at"].to_pylist(), b["runs"].to_pylist()):
+                c: Counter[int] = Counter()
+                sent, own, link = [], [], []
+                for i, group in groupby(zip(at, mine), key=lambda x: x[0]):
+                    held: set[int] = set()
+                    for _, r in group:
+                        one, two = ([find(t, -1) for t in part] for part in links(r))
+                        held.update(one, two)
+                        sent += [i] * len(one)
+                        own += one
+                        link += [*two, -1]
+                    c.update(held)
+                c.pop(-1, None)
+                for x, values in zip(out, (list(c), list(c.values()), sent, own, link)):
+                    x.append(values)
+            yield pa.record_batch([b["doc_id"], *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", "term", "n", "sent", "own", "link"])
+
+    coded = cut_up.mapInArrow(encode, "doc_id bigint, term array<int>, n array<int>, sent array<int>, own array<int>, link array<int>")
+    return materialize(coded.join(_labels(labels, names), "doc_id", "left"), "subject-coordinates"), place
+
+
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, str]], *, passes: int = 3, share: float = 2e-5) -> DataFrame:
+    """``doc_id, subject, share, sentences, mixture``: part of the document's treating sentences that each subject takes, and its weight in the factorisation."""
+    names = [a for a, _ in areas]
+    k = len(names)
+    spark = docs.sparkSession
+    areas = [(a, t or "") for a, t in areas]
+    prepared, place = coordinates(docs, labels, names, share)
+    if not place:
+        return spark.createDataFrame([], _SHARES)
 
     def gather(function) -> np.ndarray:
         """Sums of ``function``'s blocks, plain and shared components x terms, over all documents."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, coder = np.zeros((2 * k, len(place))), Terms(place)
+            total, seen = np.zeros((2 * k, len(place))), np.zeros(len(place), bool)
             for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-                total += function(coder, b["sents"].to_pylist(), b["subjects"].to_pylist())
-            at = np.flatnonzero(total.any(0))
+                rows, cols = _flat(b["term"])
+                t, sums = function(rows, cols, _flat(b["n"])[1].astype(float), b["subjects"].to_pylist())
+                total[:, t] += sums
+                seen[t] = True
+            at = np.flatnonzero(seen)
             yield pa.record_batch([pa.array(at), *(pa.array(total[j, at]) for j in range(2 * k))], ["t", *(f"v{j}" for j in range(2 * k))])
 
         schema = "t bigint, " + ", ".join(f"v{j} double" for j in range(2 * k))
-        got = prepared.select("sents", "subjects").mapInArrow(run, schema).groupBy("t").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(2 * k))).toArrow()
+        got = prepared.select("term", "n", "subjects").mapInArrow(run, schema).groupBy("t").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(2 * k))).toArrow()
         out = np.zeros((2 * k, len(place)))
         at = got["t"].to_numpy()
         for j in range(2 * k):
             out[j, at] = got[f"v{j}"].to_numpy()
         return out
 
-    def seed(coder: Terms, sents: list, subjects: list) -> np.ndarray:
-        mine = [i for i, s in enumerate(subjects) if s]
-        rows, cols = coder.rows([sents[i] for i in mine])
-        out = np.zeros((k, len(place)))
-        w = np.zeros((max(1, len(mine)), k))
-        for i, d in enumerate(mine):
-            w[i, subjects[d]] = 1 / len(subjects[d])
-        for j in range(k):
-            out[j] = np.bincount(cols, w[rows, j], len(place)) if len(rows) else 0.0
-        return np.concatenate([out, out])
+    def seed(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, subjects: list) -> tuple[np.ndarray, np.ndarray]:
+        w = np.zeros((len(subjects), k))
+        for i, s in enumerate(subjects):
+            if s:
+                w[i, s] = 1 / len(s)
+        mine = w.any(1)[rows]
+        part = w[rows[mine]] * weight[mine][:, None]
+        return collect(cols[mine], np.concatenate([part, part], axis=1))
+
+    def anchored(now: Model, subjects: list) -> np.ndarray:
+        anchors = np.tile(now.base, (len(subjects), 1))
+        for i, s in enumerate(subjects):
+            if s:  # labels are incomplete and partly wrong, so they only favour
+                anchors[i] *= 0.2
+                anchors[i, s] += 0.8 / len(s)
+        return anchors
 
-    if not place:
-        return spark.createDataFrame([], "doc_id bigint, subject string, share double, sentences bigint")
     first = gather(seed)
     for j, (name, text) in enumerate(areas):
         for t in terms(fold(f"{name.replace('_', ' ')} {text}")):
             if t in place:
                 first[[j, k + j], place[t]] += 1
-    model = Model(place, first[:k], first[k:])
+    model = Model(first[:k], first[k:])
     for _ in range(passes):
-        now = model
+        shipped = spark.sparkContext.broadcast(model)
 
-        def alternate(coder: Terms, sents: list, subjects: list, now: Model = now) -> np.ndarray:
-            rows, cols = coder.rows(sents)
-            anchors = np.tile(now.base, (len(sents), 1))
-            for i, s in enumerate(subjects):
-                if s:  # labels are incomplete and partly wrong, so they only favour
-                    anchors[i] *= 0.2
-                    anchors[i, s] += 0.8 / len(s)
-            return update(now, rows, cols, anchors)
+        def alternate(rows, cols, weight, subjects, shipped=shipped) -> tuple[np.ndarray, np.ndarray]:
+            return update(shipped.value, rows, cols, weight, anchored(shipped.value, subjects))[1:]
 
         sums = gather(alternate)
         sums += ANCHOR * first
-        model = Model(place, sums[:k], sums[k:])
-    last = model
+        model = Model(sums[:k], sums[k:])
+    last = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, sents in zip(b["doc_id"].to_pylist(), b["sents"].to_pylist()):
-                got = [j for j in map(last.sentence, sents) if j is not None]
-                out += [(doc, names[j], got.count(j) / len(got), got.count(j)) for j in sorted(set(got))]
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], ["doc_id", "subject", "share", "sentences"])
-
-    return prepared.select("doc_id", "sents").mapInArrow(judge, "doc_id bigint, subject string, share double, sentences bigint")
+        now = last.value
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            rows, cols = _flat(b["term"])
+            w = update(now, rows, cols, _flat(b["n"])[1].astype(float), anchored(now, b["subjects"].to_pylist()))[0]
+            doc, own = _flat(b["own"])
+            sent, what = now.votes(doc * 2**32 + _flat(b["sent"])[1], own, _flat(b["link"])[1])
+            votes = np.bincount((sent >> 32) * k + what, minlength=b.num_rows * k).reshape(-1, k)
+            i, j = np.nonzero(votes)
+            n = votes[i, j]
+            yield pa.record_batch(
+                [b["doc_id"].take(pa.array(i)), pa.array([names[x] for x in j], pa.string()), pa.array(n / votes.sum(1)[i]), pa.array(n), pa.array(w[i, j])],
+                ["doc_id", "subject", "share", "sentences", "mixture"],
+            )
+
+    return prepared.select("doc_id", "term", "n", "subjects", "sent", "own", "link").mapInArrow(judge, _SHARES)
