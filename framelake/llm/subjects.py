@@ -190,6 +190,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
 
 
+class _Places(dict):
+    """Places of terms, -1 for what is not in the vocabulary."""
+
+    def __missing__(self, term: str) -> int:
+        return -1
+
+
 def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: float) -> tuple[DataFrame, dict[str, int]]:
     """``doc_id, subjects, term, n, sent, own, link`` of every document with a sentence, and the vocabulary.
 
@@ -198,7 +205,7 @@ def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: flo
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             flat = [[(i, r) for i, s in enumerate(sentences(t.as_py())) for r in runs(s)] for t in b["text"]]
             yield pa.record_batch([b["doc_id"], pa.array([[i for i, _ in x] for x in flat], pa.list_(pa.int32())), pa.array([[r for _, r in x] for x in flat], pa.list_(pa.string()))], ["doc_id", "at", "runs"])
 
@@ -223,9 +230,9 @@ def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: flo
     shipped = spark.sparkContext.broadcast(place)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shipped.value.get
+        find = _Places(shipped.value).__getitem__
         kinds = [pa.list_(pa.int32())] * 5
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             out: list[list] = [[] for _ in kinds]
             for at, mine in zip(b["at"].to_pylist(), b["runs"].to_pylist()):
                 c: Counter[int] = Counter()
@@ -233,7 +240,7 @@ def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: flo
                 for i, group in groupby(zip(at, mine), key=lambda x: x[0]):
                     held: set[int] = set()
                     for _, r in group:
-                        one, two = ([find(t, -1) for t in part] for part in links(r))
+                        one, two = (list(map(find, part)) for part in links(r))
                         held.update(one, two)
                         sent += [i] * len(one)
                         own += one
@@ -248,7 +255,7 @@ def coordinates(docs: DataFrame, labels: DataFrame, names: list[str], share: flo
     return materialize(coded.join(_labels(labels, names), "doc_id", "left"), "subject-coordinates"), place
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, str]], *, passes: int = 3, share: float = 2e-5) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, str]], *, passes: int = 3, share: float = 2e-6) -> DataFrame:
     """``doc_id, subject, share, sentences, mixture``: part of the document's treating sentences that each subject takes, and its weight in the factorisation."""
     names = [a for a, _ in areas]
     k = len(names)
