@@ -15,20 +15,27 @@ from framelake.operators.filters import combine, element_condition, index_positi
 from framelake.operators.vectors import distance, farthest_points, pairwise_distances, principal_variances, sqrt_quotas
 from framelake.runtime import read_table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 
+def query_registry() -> tuple[dict, dict[str, str], object]:
+    """Empty tables of queries and their SQL, and the decorator that fills them."""
+    queries: dict = {}
+    oracle: dict[str, str] = {}
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
+    def query(sql: str | None = None):
+        """Register a query under its function's name, with its SQL."""
 
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda name: read_table(spark, sf_dir, name))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
+        def add(f):
+            queries[f.__name__] = lambda spark, sf_dir, f=f: f(lambda name: read_table(spark, sf_dir, name))
+            if sql:
+                oracle[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return queries, oracle, query
+
+
+QUERIES, ORACLE, query = query_registry()
 
 
 def _error():
