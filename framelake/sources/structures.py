@@ -1,164 +1,186 @@
-"""Readers and writers of structure files: extended XYZ, LAMMPS dumps, numeric ``.out`` tables.
+"""Readers and writers of structure files, with a registry of formats.
 
-Each file is one task; a file's frames are parsed one after the other, never
-all at once.  Malformed frames fail; nothing is filled with zeros.
+Extended XYZ, LAMMPS dumps and n2p2 files are split at their frames: lines are
+read in blocks, each block's frames are counted, and a frame that lies on a
+block's border is put together from both, so that one file of any size is read
+by many tasks.  Other formats carry state from frame to frame and are one task a
+file (a file must then fit into a row of 2 GB).
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.sources import formats
+from framelake.sources.formats import FormatError
+from framelake.sources.tables import numbered_lines, read_out  # noqa: F401 - also read from here
+
 STRUCTURES = (
-    "source string, frame bigint, natoms int, species array<string>, pos array<array<double>>, forces array<array<double>>, lattice array<array<double>>, "
-    "pbc array<boolean>, energy double, virial array<double>, config_type string, extra map<string,string>"
+    "source string, frame bigint, natoms int, species array<string>, pos array<array<double>>, forces array<array<double>>, spin array<array<double>>, force_mag array<array<double>>, "
+    "props map<string,array<array<double>>>, labels map<string,array<string>>, lattice array<array<double>>, pbc array<boolean>, energy double, virial array<double>, stress array<double>, "
+    "config_type string, extra map<string,string>"
 )
-_PAIR = re.compile(r'([A-Za-z_][\w.\-]*)\s*=\s*("(?:[^"\\]|\\.)*"|\{[^}]*\}|\S+)')
-_TRUE, _FALSE = {"T", "TRUE", "1"}, {"F", "FALSE", "0"}
-_KNOWN = {"lattice", "properties", "pbc", "energy", "virial", "config_type"}
-
-
-class FormatError(ValueError):
-    """A file that breaks the rules of its format."""
-
-
-def _numbers(text: str, count: int | None = None) -> list[float]:
-    values = [float(x) for x in text.split()]
-    if (count is not None and len(values) != count) or not all(map(math.isfinite, values)):
-        raise FormatError(f"expected {count} finite numbers: {text!r}")
-    return values
+_NAMES = [c.split()[0] for c in STRUCTURES.split(", ")]
+_VEC = pa.list_(pa.list_(pa.float64()))
+_NUM = pa.list_(pa.float64())
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), _VEC, _VEC, _VEC, _VEC, pa.map_(pa.string(), _VEC), pa.map_(pa.string(), pa.list_(pa.string())), _VEC, pa.list_(pa.bool_()), pa.float64(), _NUM, _NUM, pa.string(), pa.map_(pa.string(), pa.string())]
+
+
+@dataclass(frozen=True)
+class Format:
+    """A structure format: its parser, the line that begins a frame (None: not splittable) and the file names it takes."""
+
+    name: str
+    parse: Callable[..., Iterator[dict]]
+    names: tuple[str, ...]
+    start: str | None = None
+
+
+FORMATS: list[Format] = []
+
+
+def register_format(f: Format) -> None:
+    """Add a format; earlier ones are tried first."""
+    if any(g.name == f.name for g in FORMATS):
+        raise ValueError(f"{f.name} is registered already")
+    FORMATS.append(f)
+
+
+for _f in (
+    Format("extxyz", formats.extxyz, (".xyz", ".extxyz"), r"^\s*\d+\s*$"), Format("xdatcar", formats.xdatcar, ("XDATCAR",)), Format("outcar", formats.outcar, ("OUTCAR",)),
+    Format("lammps", formats.lammps, (".dump", ".lammpstrj"), r"^ITEM: TIMESTEP"), Format("n2p2", formats.n2p2, ("input.data",), r"^\s*begin\b"), Format("cp2k", formats.cp2k, (".out", ".log")),
+):
+    register_format(_f)
+
+
+def format_of(path: str) -> Format:
+    """The first format that takes a file of this name."""
+    base = os.path.basename(path.rstrip("/"))
+    for f in FORMATS:
+        if any(base.lower().endswith(n) if n.startswith(".") else n in base for n in f.names):
+            return f
+    raise FormatError(f"no format takes {base}")
+
+
+def _batches(texts: Iterator[tuple[str, int, str]], parse: Callable) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], k) for n, k in zip(_NAMES, _KINDS)], _NAMES)
+    for source, first, text in texts:
+        for i, frame in enumerate(parse(iter(text.splitlines()))):
+            held.append({"source": source, "frame": first + i, **frame})
+            if len(held) == 256:
+                yield batch()
+                held = []
+    if held:
+        yield batch()
+
+
+def frame_texts(lines: DataFrame, start: str) -> DataFrame:
+    """``source, frame, value``: the text of every frame; blank files and blank heads give none."""
+    begins = F.col("value").rlike(start).cast("int")
+    local = F.sum(begins).over(Window.partitionBy("source", "block").orderBy("seq"))
+    counts = lines.groupBy("source", "block").agg(F.sum(begins).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("source", "block", before.alias("before"))  # one row per block of a file
+    # lines before a block's first start continue the last frame of the blocks before
+    rows = lines.withColumn("local", local).join(offsets, ["source", "block"]).withColumn("frame", F.col("local") + F.col("before") - 1)
+    odd = F.col("frame") < 0
+    rows = rows.where(~(odd & (F.trim("value") == "")))
+    parts = rows.groupBy("source", "frame").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("l"))
+    return parts.select("source", "frame", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value"))
+
+
+def read_structures(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
+    """One row per frame of all files under ``path``; frames are numbered within their file."""
+    f = next((g for g in FORMATS if g.name == format), None) if format else format_of(path)
+    if f is None:
+        raise FormatError(f"unknown format {format}")
+    parse = (lambda lines: f.parse(lines, **options)) if options else f.parse
+
+    if f.start is None:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.lit(0).cast("bigint").alias("frame"), "value").where(F.trim("value") != "")
+    else:
+        whole = frame_texts(numbered_lines(spark, path), f.start)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(((s, i, t) for b in batches for s, i, t in zip(b["source"].to_pylist(), b["frame"].to_pylist(), b["value"].to_pylist())), parse)
 
-def _flags(text: str) -> list[bool]:
-    tokens = text.upper().split()
-    if len(tokens) not in (1, 3) or not set(tokens) <= _TRUE | _FALSE:
-        raise FormatError(f"no periodicity: {text!r}")
-    return [t in _TRUE for t in tokens] * (3 // len(tokens))
+    return whole.mapInArrow(run, STRUCTURES)
 
 
-def parse_extxyz(lines: Iterator[str]) -> Iterator[dict]:
-    """Frames of an extended XYZ text."""
-    for first in lines:
-        if not first.strip():
-            continue
+def import_structures(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Try the formats that take the file's name in order, then all others; the first that gives a frame wins, all errors are reported."""
+    errors = []
+    named = [f for f in FORMATS if any(os.path.basename(path).lower().endswith(n) if n.startswith(".") else n in os.path.basename(path) for n in f.names)]
+    if not spark.read.text(path).where(F.trim("value") != "").limit(1).count():
+        return spark.createDataFrame([], STRUCTURES)
+    for f in [*named, *(g for g in FORMATS if g not in named)]:
         try:
-            n = int(first)
-        except ValueError as e:
-            raise FormatError(f"expected an atom count: {first!r}") from e
-        fields = {k: v[1:-1].replace('\\"', '"') if v[0] in '"{' else v for k, v in _PAIR.findall(next(lines, ""))}
-        low = {k.lower(): v for k, v in fields.items()}
-        spec = low.get("properties", "species:S:1:pos:R:3").split(":")
-        columns = list(zip(spec[::3], spec[1::3], map(int, spec[2::3])))
-        if len(spec) % 3 or not {"species", "pos"} <= {c[0] for c in columns} or len({c[0] for c in columns}) != len(columns):
-            raise FormatError("Properties need species and pos, each name once")
-        width, atoms = sum(c[2] for c in columns), {c[0]: [] for c in columns}
-        for _ in range(n):
-            tokens = next(lines, "").split()
-            if len(tokens) != width:
-                raise FormatError(f"expected {width} columns, got {len(tokens)}")
-            at = 0
-            for name, kind, count in columns:
-                part = tokens[at : at + count]
-                atoms[name].append(_numbers(" ".join(part), count) if kind == "R" else part if count > 1 else part[0])
-                at += count
-        cell = _numbers(low["lattice"], 9) if "lattice" in low else None
-        virial = _numbers(low["virial"]) if "virial" in low else None
-        if virial is not None and len(virial) not in (6, 9):
-            raise FormatError("a virial has 6 or 9 components")
-        yield {
-            "natoms": n, "species": atoms["species"], "pos": atoms["pos"], "forces": atoms.get("forces", atoms.get("force")),
-            "lattice": [cell[i : i + 3] for i in (0, 3, 6)] if cell else None, "pbc": _flags(low.get("pbc", "T T T")),
-            "energy": _numbers(low["energy"], 1)[0] if "energy" in low else None, "virial": virial, "config_type": low.get("config_type"),
-            "extra": [(k, v) for k, v in fields.items() if k.lower() not in _KNOWN],
-        }
-
-
-def parse_lammps(lines: Iterator[str], elements: dict[int, str] | None = None) -> Iterator[dict]:
-    """Frames of a LAMMPS text dump, orthogonal or triclinic; ``elements`` maps atom types."""
-    step, n, flags, bounds = None, 0, "pp pp pp", []
-    for line in lines:
-        if line.startswith("ITEM: TIMESTEP"):
-            step = next(lines).strip()
-        elif line.startswith("ITEM: NUMBER OF ATOMS"):
-            n = int(next(lines))
-        elif line.startswith("ITEM: BOX BOUNDS"):
-            flags = " ".join(w for w in line.split()[3:] if len(w) == 2 and set(w) <= set("pfsm"))
-            bounds = [_numbers(next(lines)) for _ in range(3)]
-        elif line.startswith("ITEM: ATOMS"):
-            names = line.split()[2:]
-            tilt = [b[2] if len(b) > 2 else 0.0 for b in bounds]
-            (xy, xz, yz) = tilt
-            lo = [bounds[0][0] - min(0, xy, xz, xy + xz), bounds[1][0] - min(0, yz), bounds[2][0]]
-            hi = [bounds[0][1] - max(0, xy, xz, xy + xz), bounds[1][1] - max(0, yz), bounds[2][1]]
-            a, b, c = [hi[0] - lo[0], 0.0, 0.0], [xy, hi[1] - lo[1], 0.0], [xz, yz, hi[2] - lo[2]]
-            rows = [dict(zip(names, next(lines, "").split())) for _ in range(n)]
-            rows.sort(key=lambda r: int(r.get("id", 0)))
-            triple = next((t for t in (("x", "y", "z"), ("xu", "yu", "zu"), ("xs", "ys", "zs")) if set(t) <= set(names)), None)
-            if triple is None or any(len(r) != len(names) for r in rows):
-                raise FormatError("dump without coordinates or with short rows")
-            pos = [_numbers(" ".join(r[k] for k in triple), 3) for r in rows]
-            if triple[0] == "xs":
-                pos = [[sum(p[k] * v[j] for k, v in enumerate((a, b, c))) for j in range(3)] for p in pos]
-            else:
-                pos = [[p[j] - lo[j] for j in range(3)] for p in pos]
-            name = lambda r: r["element"] if "element" in r else (elements or {}).get(int(r["type"]), f"X{r['type']}")
-            force = [_numbers(f"{r['fx']} {r['fy']} {r['fz']}", 3) for r in rows] if {"fx", "fy", "fz"} <= set(names) else None
-            yield {
-                "natoms": n, "species": [name(r) for r in rows], "pos": pos, "forces": force, "lattice": [a, b, c], "pbc": [f == "pp" for f in flags.split()],
-                "energy": None, "virial": None, "config_type": None, "extra": [("timestep", step)],
-            }
-
-
-def _read(spark: SparkSession, path: str, parse) -> DataFrame:
-    """One row per frame; frames are numbered within their file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-    names = [c.split()[0] for c in STRUCTURES.split(", ")]
-    vec = pa.list_(pa.list_(pa.float64()))
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), vec, vec, vec, pa.list_(pa.bool_()), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.map_(pa.string(), pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for source, text in zip(b["source"].to_pylist(), b["value"].to_pylist()):
-                held: list[dict] = []
-                for i, frame in enumerate(parse(iter(text.splitlines()))):
-                    held.append({"source": source, "frame": i, **frame})
-                    if len(held) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], k) for n, k in zip(names, kinds)], names)
-                        held = []
-                yield pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], k) for n, k in zip(names, kinds)], names)
-
-    return whole.mapInArrow(run, STRUCTURES)
+            df = read_structures(spark, path, f.name, **options)
+            if df.limit(1).count():
+                return df
+            errors.append(f"{f.name}: no frame")
+        except Exception as e:  # noqa: BLE001 - every format's reason is part of the message
+            errors.append(f"{f.name}: {str(e).strip().splitlines()[-1][:200]}")
+    raise FormatError("; ".join(errors))
 
 
 def read_extxyz(spark: SparkSession, path: str) -> DataFrame:
     """Frames of all extended XYZ files under ``path``."""
-    return _read(spark, path, parse_extxyz)
+    return read_structures(spark, path, "extxyz")
 
 
 def read_lammps(spark: SparkSession, path: str, elements: dict[int, str] | None = None) -> DataFrame:
     """Frames of all LAMMPS dumps under ``path``."""
-    return _read(spark, path, lambda lines: parse_lammps(lines, elements))
+    return read_structures(spark, path, "lammps", elements=elements)
 
 
-def read_out(spark: SparkSession, path: str) -> DataFrame:
-    """``row, values`` of a numeric table such as ``energy.out``, in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("row", "line"))
-    return lines.where(F.trim("line") != "").select("row", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("values"))
+def with_ids(df: DataFrame) -> DataFrame:
+    """``df`` with ``structure_id`` in order of file and frame."""
+    counts = df.groupBy("source").agg((F.max("frame") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per file
+    return df.join(counts.select("source", before.alias("before")), "source").withColumn("structure_id", F.col("before") + F.col("frame")).drop("before")
 
 
-def write_extxyz(df: DataFrame, path: str) -> None:
-    """Write structures as extended XYZ, one part file per partition."""
-    number = lambda x: x.cast("string")
-    row = lambda v: F.array_join(F.transform(v, number), " ")
+def extxyz_text(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """``value``: each row as extended XYZ; ``digits`` rounds per-atom numbers, numbers of a frame keep all digits."""
+    full = lambda x: x.cast("string")
+    atom = full if digits is None else lambda x: F.format_string(f"%.{digits}f", x)
+    row = lambda v, f=full: F.array_join(F.transform(v, f), " ")
+    has = lambda c: F.col(c).isNotNull() if c in df.columns else F.lit(False)
     cell = F.concat(F.lit('Lattice="'), row(F.flatten("lattice")), F.lit('" '))
-    kind = F.concat(F.lit("Properties=species:S:1:pos:R:3"), F.when(F.col("forces").isNotNull(), ":force:R:3").otherwise(""))
-    more = [F.when(F.col("energy").isNotNull(), F.concat(F.lit(" energy="), F.col("energy").cast("string"))), F.when(F.col("virial").isNotNull(), F.concat(F.lit(' virial="'), row(F.col("virial")), F.lit('"'))), F.when(F.col("config_type").isNotNull(), F.concat(F.lit(' Config_type="'), F.col("config_type"), F.lit('"')))]
+    vectors = [("forces", "force"), ("spin", "spin"), ("force_mag", "force_mag")]
+    kind = F.concat(F.lit("Properties=species:S:1:pos:R:3"), *(F.when(has(c), f":{name}:R:3").otherwise("") for c, name in vectors))
+    quoted = lambda c, name: F.when(has(c), F.concat(F.lit(f' {name}="'), row(F.col(c)) if c in ("virial", "stress") else F.col(c), F.lit('"'))) if c in df.columns else F.lit(None)
+    more = [F.when(F.col("energy").isNotNull(), F.concat(F.lit(" energy="), full(F.col("energy")))), quoted("virial", "virial"), quoted("stress", "stress"), quoted("config_type", "Config_type")]
+    if "extra" in df.columns:
+        more.append(F.concat(F.lit(""), F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), F.regexp_replace(e["value"], '"', r'\\"'), F.lit('"'))), "")))
     pbc = F.concat(F.lit(' pbc="'), F.array_join(F.transform("pbc", lambda b: F.when(b, "T").otherwise("F")), " "), F.lit('"'))
-    head = F.concat(F.coalesce(cell, F.lit("")), kind, *(F.coalesce(m, F.lit("")) for m in more), pbc)
-    atoms = F.transform(F.sequence(F.lit(0), F.col("natoms") - 1), lambda i: F.concat(F.get("species", i), F.lit(" "), row(F.get("pos", i)), F.coalesce(F.concat(F.lit(" "), row(F.get("forces", i))), F.lit(""))))
-    df.select(F.concat_ws("\n", F.col("natoms").cast("string"), head, F.array_join(atoms, "\n")).alias("value")).write.text(path)
+    head = F.concat(F.coalesce(cell, F.lit("")), kind, *(F.coalesce(m, F.lit("")) for m in more), F.coalesce(pbc, F.lit("")))
+    parts = lambda i: [F.coalesce(F.concat(F.lit(" "), row(F.get(c, i), atom)), F.lit("")) for c, _ in vectors if c in df.columns]
+    atoms = F.transform(F.sequence(F.lit(0), F.size("species") - 1), lambda i: F.concat(F.get("species", i), F.lit(" "), row(F.get("pos", i), atom), *parts(i)))
+    body = F.when(F.size("species") > 0, F.array_join(atoms, "\n"))
+    return df.select(F.concat_ws("\n", F.size("species").cast("string"), head, body).alias("value"))
+
+
+def write_extxyz(df: DataFrame, path: str, digits: int | None = None, mode: str = "errorifexists") -> None:
+    """Write structures as extended XYZ, one part file per partition; Spark's committer makes the folder appear as a whole."""
+    extxyz_text(df, digits).write.mode(mode).text(path)
+
+
+def write_single(df: DataFrame, path: str, digits: int | None = None, order: list[str] | None = None) -> None:
+    """One local file in order, written beside its place and renamed, so that readers see the old or the new one."""
+    text = extxyz_text(df.orderBy(*order) if order else df, digits)
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        for r in text.toLocalIterator():
+            f.write(r[0] + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
