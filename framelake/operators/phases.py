@@ -107,7 +107,9 @@ def matches(profile: list, wanted: list, shells: int = 2, tolerance: float = 0.0
 
 def translational_order(vectors: np.ndarray) -> float:
     """Share of neighbour vectors whose opposite is there too: 1 with inversion symmetry."""
-    scale = np.linalg.norm(vectors[0])
+    d = np.linalg.norm(vectors, axis=1)
+    scale, whole = d[0], 8 + int((d[8:] / d[7:-1]).argmax()) if len(d) > 8 else len(d)
+    vectors = vectors[:whole]  # complete shells only
     away = np.linalg.norm(vectors[:, None] + vectors[None], axis=2).min(1)
     return float((away < 0.15 * scale).mean())
 

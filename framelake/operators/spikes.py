@@ -6,7 +6,9 @@ measurement becomes a daily profile matrix - one row per day and repeat, one
 column per hour - which robust principal components (principal component
 pursuit) split into a low-rank part, the source's normal behaviour, and a
 sparse part.  Readings close to the low-rank part are the ordinary core; all
-others are candidates.  A block with fewer than ``min_core`` readings has no core
+others are candidates.  A reading whose sparse part is far above the block's usual
+departure from the low-rank part is off the source's profile at that hour, even
+where its value is common at other hours (reason ``off_profile``).  A block with fewer than ``min_core`` readings has no core
 of its own: its readings are candidates of their source, or, if no block of the
 source is large enough, they are pooled and the core is that of the pool.
 Constant runs and ranges are tested separately:
@@ -37,7 +39,9 @@ HOURS = 24
 _OUT = "source string, field int, kind int, record_id bigint, value double, block bigint, head bigint, tail bigint, lo double, hi double"
 _NAMES = [part.split()[0] for part in _OUT.split(", ")]
 _TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-CASE_INVALID, CASE_STUCK, CANDIDATE, PENDING, CORE, CHAIN, LOOSE = range(7)
+CASE_INVALID, CASE_STUCK, CANDIDATE, PENDING, CORE, CHAIN, LOOSE, OFF = range(8)
+#: Departures from the profile, in the block's median departure, from which the sparse part counts.
+OFF_PROFILE = 12.0
 
 
 def robust_components(m: np.ndarray, known: np.ndarray, steps: int = 18) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +71,12 @@ def robust_components(m: np.ndarray, known: np.ndarray, steps: int = 18) -> tupl
     return low, sparse
 
 
-def ordinary_core(v: np.ndarray, day: np.ndarray, hour: np.ndarray) -> np.ndarray:
-    """Mask of the readings that lie close to the block's normal behaviour."""
+def ordinary_core(v: np.ndarray, day: np.ndarray, hour: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks of the readings close to the block's normal behaviour, and of those far off it, and that behaviour."""
     n, day = len(v), day - day.min(initial=0)
     if n < 4:
-        return np.abs(v - np.median(v)) <= np.median(np.abs(v - np.median(v))) if n else np.zeros(0, bool)
+        core = np.abs(v - np.median(v)) <= np.median(np.abs(v - np.median(v))) if n else np.zeros(0, bool)
+        return core, np.zeros(n, bool), v
     mid = np.median(v)
     scale = 1.4826 * np.median(np.abs(v - mid))
     if not scale > 0:
@@ -86,13 +91,16 @@ def ordinary_core(v: np.ndarray, day: np.ndarray, hour: np.ndarray) -> np.ndarra
     row = np.unique(day * (repeat.max() + 1) + repeat, return_inverse=True)[1]
     m, known = np.zeros((row.max() + 1, HOURS)), np.zeros((row.max() + 1, HOURS), bool)
     m[row, hour], known[row, hour] = z, True
-    low, _ = robust_components(m, known)
-    away = np.abs(v - (low[row, hour] * scale + mid))
+    low, sparse = robust_components(m, known)
+    normal = low[row, hour] * scale + mid
+    away = np.abs(v - normal)
+    usual = np.median(away)
+    off = (sparse[row, hour] != 0) & (away > OFF_PROFILE * usual) & (away > 1e-9 * max(abs(mid), scale))
     for q in (0.9 if n >= 200 else 0.75, 0.95):
         core = away <= np.quantile(away, q)
         if v[core].max() > v[core].min():
             break
-    return core
+    return core, off, normal
 
 
 def _close(a: np.ndarray, b: np.ndarray, tol: float) -> np.ndarray:
@@ -158,8 +166,9 @@ def _block_function(signed: tuple[bool, ...], run: int, tol: float, min_core: in
             if len(rest) < min_core:
                 emit(k, LOOSE, ids[rest], v[rest], each=place(rest))
             else:
-                core = ordinary_core(v[rest], d[rest], h[rest])
+                core, off, normal = ordinary_core(v[rest], d[rest], h[rest])
                 emit(k, CANDIDATE, ids[rest][~core], v[rest][~core])
+                emit(k, OFF, ids[rest][off], v[rest][off], each={"lo": normal[off]})
                 c = v[rest][core]
                 emit(k, CORE, lo=float(c.min()), hi=float(c.max()))
         return pa.table({n: pa.concat_arrays(a) if a else pa.array([], ty) for n, a, ty in zip(_NAMES, out, _TYPES)})
@@ -172,7 +181,7 @@ def _pool(key: tuple, t: pa.Table) -> pa.Table:
     v, rid, pos, cell = (t[c].to_numpy() for c in ("value", "record_id", "lo", "hi"))
     order = np.lexsort((rid, pos))
     v, rid, cell = v[order], rid[order], cell[order].astype(np.int64)
-    core = ordinary_core(v, cell // HOURS, cell % HOURS)
+    core = ordinary_core(v, cell // HOURS, cell % HOURS)[0]
     c, n = v[core], int((~core).sum())
     one = {"source": key[0].as_py(), "field": key[1].as_py(), "block": key[2].as_py()}
     rows = {name: [one.get(name)] * (n + 1) for name in _NAMES}
@@ -217,7 +226,10 @@ def implausible_readings(
     block_rows: int = 8192,
     min_core: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
-    """(cases, ranges): cases hold ``record_id, field, reason``; ranges hold ``source, field, lo, hi``.
+    """(cases, ranges): cases hold ``record_id, field, reason, value, normal``; ranges hold ``source, field, lo, hi``.
+
+    Reasons are invalid, stuck, spike and off_profile; the last has its value and what the profile would be, and may
+    come beside another reason.
 
     ``fields`` maps a column to whether it may be negative.
     """
@@ -295,7 +307,10 @@ def implausible_readings(
     sure = found.where(F.col("kind").isin(CASE_INVALID, CASE_STUCK)).select("record_id", "field", F.when(F.col("kind") == CASE_INVALID, "invalid").otherwise("stuck").alias("reason"))
     stitched = readings.where(F.col("stuck")).select("record_id", "field", F.lit("stuck").alias("reason"))
     label = F.element_at(F.array(*(F.lit(f) for f in names)), F.col("field") + 1).alias("field")
-    cases = sure.unionByName(stitched).unionByName(spikes).select("record_id", label, "reason")
+    none = F.lit(None).cast("double")
+    off = found.where(F.col("kind") == OFF).select("record_id", "field", F.lit("off_profile").alias("reason"), "value", F.col("lo").alias("normal"))
+    plain = sure.unionByName(stitched).unionByName(spikes).select("record_id", "field", "reason", none.alias("value"), none.alias("normal"))
+    cases = plain.unionByName(off).select("record_id", label, "reason", "value", "normal")
     return cases, ranges.select("source", label, "lo", "hi")
 
 

@@ -13,7 +13,13 @@ from framelake.runtime import read_table
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading that cannot be right for its source."""
     cases, _ = implausible_readings(read_table(spark, sf_dir, "audit_records"), AUDIT_FIELDS)
-    return cases.select("record_id", "field")
+    return cases.where("reason <> 'off_profile'").select("record_id", "field")
+
+
+def p1_profile_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings far off their source's daily profile: the sparse part of the robust components."""
+    cases, _ = implausible_readings(read_table(spark, sf_dir, "audit_records"), AUDIT_FIELDS)
+    return cases.where("reason = 'off_profile'").select("record_id", "field", "value", "normal")
 
 
 def p1_ordinary_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,12 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumn("path", F.when(F.col("path").isNotNull(), F.array_join("path", "/")))
 
 
+def p5_contracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p5_hierarchy, by contraction to the end: no rest is finished in one task, whatever the size."""
+    nodes = hierarchy(_trees(spark, sf_dir), tree=F.col("tree"), finish_rows=0)
+    return nodes.withColumn("path", F.when(F.col("path").isNotNull(), F.array_join("path", "/")))
+
+
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of ancestor and descendant with its distance."""
     return descendants(hierarchy(_trees(spark, sf_dir), tree=F.col("tree")))
@@ -48,7 +60,7 @@ def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_descendants(_trees(spark, sf_dir), tree=F.col("tree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ordinary_ranges": p1_ordinary_ranges, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants}
+QUERIES = {"p1_found": p1_found, "p1_ordinary_ranges": p1_ordinary_ranges, "p1_profile_spikes": p1_profile_spikes, "p5_contracted": p5_contracted, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants}
 
 _EDGES = """
 n AS (SELECT tree, id, min(nullif(parent_id, 0)) AS p FROM (
@@ -76,3 +88,4 @@ ORACLE = {
               UNION ALL SELECT w.tree, w.id, e.p, w.distance + 1, list_append(w.seen, e.p) FROM w JOIN e ON e.tree = w.tree AND e.id = w.a WHERE e.p IS NOT NULL AND NOT list_contains(w.seen, e.p))
         SELECT tree, a AS ancestor_id, id AS descendant_id, distance FROM w""",
 }
+ORACLE["p5_contracted"] = ORACLE["p5_hierarchy"]
