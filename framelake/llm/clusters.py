@@ -48,21 +48,30 @@ def audit_points(df: DataFrame, share: float = 0.12, energy: float = 0.25, atoms
     return rows.select("record_id", F.array_join(F.transform("c", lambda c: c["key"]), "-").alias("elements"), x.alias("x")).dropDuplicates(["record_id"])
 
 
-def _two_means(x: np.ndarray, steps: int = 4) -> np.ndarray:
-    """Side of each point; both sides hold points as ``x`` is not constant."""
-    wide = int(np.argmax(x.max(0) - x.min(0)))
-    side = x[:, wide] > (x[:, wide].max() + x[:, wide].min()) / 2
-    best = side
-    for _ in range(steps):
-        a, b = x[~side].mean(0), x[side].mean(0)
-        new = ((x - b) ** 2).sum(1) < ((x - a) ** 2).sum(1)
-        if new.all() or not new.any():
-            break
-        best = new
-        if (new == side).all():
+#: Steps of every 2-means, in one task and over the cluster alike.
+STEPS = 3
+
+
+def _two_means(x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Side of each point; both sides hold points as ``x`` is not constant.
+
+    The same rule as for nodes that are split over the cluster: it starts a standard
+    deviation on both sides of the mean, along the coordinate of largest variance.
+    """
+    mean, var = x.mean(0), x.var(0)
+    shift = np.zeros(len(mean))
+    shift[int(np.argmax(var))] = np.sqrt(var.max())
+    a, b = mean - shift, mean + shift
+    for step in range(steps + 1):
+        side = ((x - b) ** 2).sum(1) < ((x - a) ** 2).sum(1)
+        if side.all() or not side.any():
             break
-        side = new
-    return best
+        if step < steps:
+            a, b = x[~side].mean(0), x[side].mean(0)
+    if side.all() or not side.any():  # numbers too near each other to tell apart
+        wide = int(np.argmax(x.max(0) - x.min(0)))
+        side = x[:, wide] > (x[:, wide].max() + x[:, wide].min()) / 2
+    return side
 
 
 def bisect(x: np.ndarray) -> list[np.ndarray]:
@@ -82,8 +91,9 @@ def bisect(x: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
-def _leaf_id(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big", signed=True)
+def _leaf_id(elements: str, first_id: int) -> int:
+    """A leaf's number follows from its elements and smallest record, however it was split off."""
+    return int(hashlib.sha1(f"{elements}|{first_id}".encode()).hexdigest()[:15], 16)
 
 
 def _split_node(key: tuple, t: pa.Table) -> pa.Table:
@@ -96,7 +106,7 @@ def _split_node(key: tuple, t: pa.Table) -> pa.Table:
     leaf_of = np.empty(len(ids), np.int64)
     summary: dict[str, list] = {k: [] for k in ("leaf", "n", "first_id", "lo", "hi", "centre", "typical")}
     for at in sorted(bisect(x), key=lambda a: a[0]):
-        y, leaf = x[at], _leaf_id(node, ids[at[0]])
+        y, leaf = x[at], _leaf_id(node.split("/")[0], int(ids[at[0]]))
         leaf_of[at] = leaf
         centre = y.mean(0)
         near = np.lexsort((ids[at], ((y - centre) ** 2).sum(1)))[:TYPICAL]
@@ -135,7 +145,7 @@ def _extent(lo: str, hi: str) -> Column:
     return F.array_max(F.zip_with(hi, lo, lambda p, q: p - q))
 
 
-def _split_large(rows: DataFrame, max_rows: int, steps: int = 3) -> tuple[DataFrame, list[DataFrame]]:
+def _split_large(rows: DataFrame, max_rows: int, steps: int = STEPS) -> tuple[DataFrame, list[DataFrame]]:
     """Split nodes above ``max_rows`` over the whole cluster; (small nodes, compact large leaves)."""
     done: list[DataFrame] = []
     small: list[DataFrame] = []
@@ -172,16 +182,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _large_leaves(rows: DataFrame) -> DataFrame:
     """Leaves too large for one task: the same columns, by aggregation only."""
-    leaf = F.xxhash64("node")
     stats = _stats(rows, ["node"])
+    elements = F.substring_index("node", "/", 1)
+    named = stats.select("node", F.conv(F.substring(F.sha1(F.concat_ws("|", elements, F.col("first_id").cast("string"))), 1, 15), 16, 10).cast("bigint").alias("leaf"))
     away = rows.join(stats.select("node", "mean"), "node").select("node", "record_id", _far("x", "mean").alias("d"))
     best = Window.partitionBy("node", "salt").orderBy("d", "record_id")
     top = away.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(256))).withColumn("r", F.row_number().over(best)).where(F.col("r") <= TYPICAL)
     top = top.groupBy("node").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("d", "record_id"))), 1, TYPICAL), lambda s: s["record_id"]).alias("typical"))
     none = lambda kind: F.lit(None).cast(kind)
     vec, ids = "array<double>", "array<bigint>"
-    head = stats.join(top, "node").select(leaf.alias("leaf"), none("bigint").alias("record_id"), F.substring_index("node", "/", 1).alias("elements"), "n", "first_id", "lo", "hi", F.col("mean").alias("centre"), "typical")
-    body = rows.select(leaf.alias("leaf"), "record_id", none("string").alias("elements"), none("bigint").alias("n"), none("bigint").alias("first_id"), none(vec).alias("lo"), none(vec).alias("hi"), none(vec).alias("centre"), none(ids).alias("typical"))
+    head = stats.join(top, "node").join(named, "node").select("leaf", none("bigint").alias("record_id"), F.substring_index("node", "/", 1).alias("elements"), "n", "first_id", "lo", "hi", F.col("mean").alias("centre"), "typical")
+    body = rows.join(named, "node").select("leaf", "record_id", none("string").alias("elements"), none("bigint").alias("n"), none("bigint").alias("first_id"), none(vec).alias("lo"), none(vec).alias("hi"), none(vec).alias("centre"), none(ids).alias("typical"))
     return head.unionByName(body)
 
 

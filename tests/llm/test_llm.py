@@ -179,3 +179,10 @@ def test_subjects_reach_held_out_accuracy(spark):
 def test_sentences_leave_out_noise():
     assert sentences("Subject: x\n1. The spin 3 is up. See it!\n[09:23] step 300 1.4\n<p>Ja, gut</p>") == ["the spin is up", "see it", "ja gut"]
     assert sentences(None) == [] and config_key is not None and dt
+
+
+def test_clusters_are_the_same_however_nodes_are_split(spark):
+    points = audit_points(spark.createDataFrame(records(11, 400), AUDIT))
+    key = lambda rows: sorted((r.leaf, r.n, r.first_id, tuple(round(c, 9) for c in r.centre), tuple(r.typical)) for r in rows)
+    one, two = (key(similarity_clusters(points, max_rows=m)[0].collect()) for m in (60, 100_000))
+    assert one == two and len(one) > 3
