@@ -135,7 +135,7 @@ def remove_model(models: DataFrame, links: DataFrame, model_id: int) -> tuple[Da
 
 def tag_models(tags: DataFrame, links: DataFrame, model_id: int, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """Give a version exactly these tags; unknown names become new tags."""
-    wanted = list(dict.fromkeys(_normal(n) for n in names if n.strip()))
+    wanted = list({_normal(n).lower(): _normal(n) for n in reversed(names) if n.strip()}.values())
     known = {r["name"].lower(): r["id"] for r in tags.where(F.lower("name").isin([w.lower() for w in wanted])).select("name", "id").collect()}
     for w in wanted:
         if w.lower() not in known:
@@ -197,7 +197,7 @@ def import_catalog(catalog: dict, projects: DataFrame, models: DataFrame) -> tup
     rows = []
     for m in order:
         row = {**m, "id": new[m["id"]], "project_id": project, "parent_id": new.get(m.get("parent_id"))}
-        rows.append(tuple(float(row[c] or 0) if c in ("energy", "force", "virial") else row.get(c) for c in models.columns))
+        rows.append(tuple(float(row.get(c) or 0) if c in ("energy", "force", "virial") else row.get(c) for c in models.columns))
     return projects, models.unionByName(models.sparkSession.createDataFrame(rows, models.schema)) if rows else models, new
 
 

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake import generators as G
 from framelake.functions import structure as S
 from framelake.operators import audit as A
+from framelake.operators import catalog as C
 from framelake.operators import distribution as D
+from framelake.operators import energy as E
+from framelake.operators import fields as X
+from framelake.operators import magnetic as B
+from framelake.operators import motifs as M
+from framelake.operators import phases as P
 from framelake.operators import quality as Q
+from framelake.operators import vectors as V
 from framelake.operators.energy import Baseline, apply_baseline, group_statistics
 from framelake.operators.filters import Condition, FilterSpec, lattice_range
 from framelake.operators.local_chemistry import CutoffProfile, chemistry_histograms, environments, pair_contacts
-from framelake.operators.neighbors import cell_status, minimum_distances, neighbor_pairs, with_short_pairs
+from framelake.operators.neighbors import cell_status, minimum_distances, nearest_neighbors, neighbor_pairs, with_short_pairs
 from framelake.operators.selection import State, attach_rows, member, rows_of, sync
 from framelake.plans.frames import DIRTY, PAIRS, SPECIES, SQL, dirty, frames
 from framelake.plans.reference_queries import query_registry
@@ -356,3 +364,131 @@ def s_g1_short_flags(t):
     f = with_short_pairs(frames(t), cutoff=0.4)
     return f.agg(F.count("*").alias("structures"), F.count_if(F.coalesce("short", F.lit(False))).alias("short"))
 
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT a.sid, a.k, any_value(a.el) AS el, count(p.j) AS n, string_agg(p.ej, ',' ORDER BY p.ej) AS around FROM atoms a LEFT JOIN pairs p ON p.sid = a.sid AND p.i = a.k AND p.d <= 2.4 GROUP BY 1, 2), c AS (SELECT sid, k, el, n, (SELECT coalesce(string_agg(e || m, ',' ORDER BY e), '') FROM (SELECT e, count(*) AS m FROM (SELECT unnest(string_split(around, ',')) AS e) u WHERE around IS NOT NULL GROUP BY e) v) AS text FROM n) SELECT el || '|' || text AS signature, count(*) AS n FROM c GROUP BY 1")
+def s_x1_x2_motifs(t):
+    return M.histogram(M.signatures(frames(t), "cutoff", 2.4)).select("signature", "n")
+
+
+@query("SELECT p_brand, p_type, n, CAST(r AS INT) AS rank FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) t WHERE r <= 5")
+def s_x4_contingency(t):
+    return M.contingency(t("part"), "p_brand", "p_type")
+
+
+@query("WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) SELECT round((SELECT sum(m) / sum(s) FROM (SELECT max(n) AS m, sum(n) AS s FROM c GROUP BY p_brand)), 9) AS a_to_b, round((SELECT sum(m) / sum(s) FROM (SELECT max(n) AS m, sum(n) AS s FROM c GROUP BY p_type)), 9) AS b_to_a")
+def s_x4_purity(t):
+    return M.purity(t("part"), "p_brand", "p_type").select(F.round("a_to_b", 9).alias("a_to_b"), F.round("b_to_a", 9).alias("b_to_a"))
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2 AS b FROM lineitem) SELECT round(corr(a, b), 9) AS spearman, (SELECT round(corr(l_quantity, l_extendedprice), 9) FROM lineitem) AS pearson FROM r")
+def s_x5_correlations(t):
+    li = t("lineitem")
+    row = (M.correlation(li, "l_quantity", "l_discount", "spearman"), M.correlation(li, "l_quantity", "l_extendedprice"))
+    return li.sparkSession.createDataFrame([tuple(round(v, 9) for v in row)], "spearman double, pearson double")
+
+
+@query("WITH p AS (SELECT l_returnflag AS k, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), q AS (SELECT l_returnflag AS k, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT coalesce(p.s, 0) AS p, coalesce(q.s, 0) AS q FROM p FULL JOIN q USING (k)) SELECT round((sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END)) / 2, 9) AS divergence FROM b")
+def s_x5_divergence(t):
+    one = lambda s: M.histogram(t("lineitem").where(F.col("l_linestatus") == s), "l_returnflag")
+    return t("lineitem").sparkSession.createDataFrame([(round(M.divergence(one("O"), one("F"), "l_returnflag"), 9),)], "divergence double")
+
+
+@query("SELECT a.vec_id, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS d FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 GROUP BY a.vec_id")
+def s_j14_warm_start(t):
+    e = t("embeddings")
+    return V.nearest_distances(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding").select("vec_id", F.round("d", 5).alias("d"))
+
+
+@query()
+def s_t4_centered(t):
+    e = t("embeddings")
+    return e.sparkSession.createDataFrame(list(enumerate(V.centered_points(e, "vec_id", "embedding", 12))), "step int, vec_id bigint")
+
+
+@query()
+def s_t5_explained(t):
+    e = t("embeddings")
+    ids, share = V.explained_points(e, "vec_id", "embedding", 0.02)
+    return e.sparkSession.createDataFrame([(i, k, share) for i, k in enumerate(ids)], "step int, vec_id bigint, share double")
+
+
+@query()
+def s_t7_balanced(t):
+    return V.balanced_points(t("embeddings"), "vec_id", "embedding", "label", 30)
+
+
+@query()
+def s_a19_phases(t):
+    f = frames(t).where(F.size("species") > 0)
+    points = f.select("structure_id", A.point_key(S.element_counts(F.col("species"))).alias("point"))
+    return P.phase_inventory(P.phase_evidence(f), points)
+
+
+@query()
+def s_a20_magnetic(t):
+    f = frames(t).where(F.size("species") > 0).withColumn("spin", F.col("forces"))
+    points = f.select("structure_id", A.point_key(S.element_counts(F.col("species"))).alias("point"))
+    return B.magnetic_inventory(B.magnetic_evidence(f), points)
+
+
+@query()
+def s_g5_nearest(t):
+    return nearest_neighbors(frames(t), 8).groupBy("rank").agg(F.count("*").alias("atoms"), F.round(F.avg("distance"), 6).alias("mean"))
+
+
+@query("WITH RECURSIVE s AS (SELECT DISTINCT id FROM projects WHERE id = (SELECT min(parent_id) FROM projects WHERE parent_id > 0 AND parent_id IN (SELECT id FROM projects)) UNION SELECT p.id FROM projects p JOIN s ON p.parent_id = s.id) SELECT id FROM s")
+def s_j12_subtree(t):
+    p = t("projects")
+    known = p.where("parent_id > 0").join(p.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return C.subtree(p, known.agg(F.min("parent_id")).first()[0])
+
+
+@query("SELECT id FROM (SELECT DISTINCT id, name, notes, model_type, created_at FROM model_versions WHERE id IS NOT NULL AND upper(trim(model_type)) = 'NEP' AND id IN (SELECT model_version_id FROM model_version_tags WHERE tag_id IN (1, 2, 3)) AND id NOT IN (SELECT model_version_id FROM model_version_tags WHERE tag_id = 4 AND model_version_id IS NOT NULL)) t ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 3")
+def s_d1_search(t):
+    return C.search_models(t("model_versions"), links=t("model_version_tags"), model_type="nep", any_tags=[1, 2, 3], no_tags=[4], offset=3, limit=20).select("id")
+
+
+@query("SELECT p.id AS project_id, count(DISTINCT m.id) AS models FROM (SELECT DISTINCT id FROM projects WHERE id IS NOT NULL) p LEFT JOIN model_versions m ON m.project_id = p.id GROUP BY p.id")
+def s_a21_roll_up(t):
+    return C.project_counts(t("projects"), t("model_versions")).select("project_id", "models")
+
+
+@query(_PLAIN + ", g AS (SELECT unnest([-5.0::DOUBLE, 0.0::DOUBLE, 5.0::DOUBLE]) AS xy) SELECT c.sid AS structure_id, round(g.xy, 1) AS xy, round(a * b * c, 6) AS volume, round(b, 6) AS by FROM cells c, g WHERE c.sid IN (SELECT sid FROM atoms)")
+def s_c4_shear(t):
+    f = frames(t).where(F.size("species") > 0).withColumnRenamed("energy", "_e")
+    out = G.apply(f, "shear_matrix", xy=(-5.0, 5.0, 5.0), yz=0.0, xz=0.0)
+    return out.select("structure_id", ((F.col("variant") - 1) * 5.0).alias("xy"), F.round(S.volume(F.col("lattice")), 6).alias("volume"), F.round(F.col("lattice")[1][1] - F.col("lattice")[1][0] * (F.col("variant") - 1) * 0.05, 6).alias("by"))
+
+
+@query(_PLAIN + ", n AS (SELECT sid, count(*) AS n FROM atoms GROUP BY sid) SELECT c.sid AS structure_id, n * 6 AS atoms, round(a * b * c * 6, 6) AS volume FROM cells c JOIN n USING (sid)")
+def s_c7_supercell(t):
+    out = G.apply(frames(t).where(F.size("species") > 0), "supercell", scale=[1, 2, 3])
+    return out.select("structure_id", F.size("species").cast("bigint").alias("atoms"), F.round(S.volume(F.col("lattice")), 6).alias("volume"))
+
+
+@query()
+def s_c40_pipeline(t):
+    steps = [{"name": "supercell", "params": {"scale": [2, 1, 1]}}, {"group": [{"name": "vacancy_defect", "params": {"samples": 2}}, {"name": "perturb", "params": {"count": 1}}], "filter": {"name": "geometry_filter", "params": {"min_pair_distance": 0.5}}}]
+    out = G.pipeline(frames(t).where(F.size("species") > 1), steps)
+    return out.groupBy("config_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def s_e2_fit_baseline(t):
+    f = frames(t).where(F.size("species") > 0)
+    b = E.fit_baseline(f, mode="zero", patterns=["bulk.*"], method="exact")
+    return f.sparkSession.createDataFrame([(g, e, round(v, 6)) for g, ref in b.group_to_ref.items() for e, v in zip(b.elements, ref)], "config_group string, element string, reference double")
+
+
+@query("SELECT o_orderkey AS structure_id FROM orders WHERE o_totalprice > 100000")
+def s_k3_export_scope(t):
+    o = t("orders").select(F.col("o_orderkey").alias("structure_id"), "o_totalprice")
+    return State(o).remove(o.where("o_totalprice <= 100000").select("structure_id")).scope("active")
+
+
+@query(_PLAIN + f", {_COUNTS}, m AS (SELECT sid, max(0.25 * sqrt(fx*fx + fy*fy + fz*fz)) AS e, max(abs(fx)) AS x FROM atoms GROUP BY sid) SELECT c.sid AS structure_id FROM cells c JOIN counts n ON n.sid = c.sid JOIN m ON m.sid = c.sid WHERE (e > 0.2 AND fe / n.n >= 0.25 AND NOT (x < 0.1)) OR (c.sid % 7 * 0.25 - 0.5 > 0.9 AND a * b * c.c < 110 AND h = 0)")
+def s_f7_fields(t):
+    f = frames(t).where(F.size("species") > 0)
+    text = "(force.err.norm > 0.2 && frac.Fe >= 0.25 AND !(force.x < 0.1)) or energy.err > 0.9 and volume < 110 and not has.H"
+    return X.select(f, text, _metrics(t)).select("structure_id")

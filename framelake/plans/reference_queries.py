@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.expression import compile_predicate
+from framelake.operators.audit import exact_quantile, gcd_of
 from framelake.operators.cells import supercell
 from framelake.operators.filters import combine, element_condition, index_positions, parse_elements, tag_groups, text_condition
 from framelake.operators.vectors import distance, farthest_points, pairwise_distances, principal_variances, sqrt_quotas
@@ -123,12 +124,6 @@ def f12_net_vector(t):
     return t("lineitem").groupBy("l_orderkey").agg(net.alias("net")).where(F.col("net") > 40).select("l_orderkey")
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_quantity <= 1 THEN 'empty' WHEN l_discount = 0 THEN 'invalid_cell' WHEN l_tax > 0.07 THEN 'pair_distance' WHEN l_extendedprice > 60000 THEN 'density' ELSE 'kept' END AS reason FROM lineitem) t GROUP BY reason")
-def f13_first_failure(t):
-    reason = F.when(F.col("l_quantity") <= 1, "empty").when(F.col("l_discount") == 0, "invalid_cell").when(F.col("l_tax") > 0.07, "pair_distance").when(F.col("l_extendedprice") > 60000, "density").otherwise("kept")
-    return t("lineitem").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'P')")
 def j2_active_view(t):
     removed = t("orders").where("o_orderstatus = 'P'")
@@ -204,17 +199,14 @@ def a9_config_types(t):
 @query("SELECT a // g AS a, n // g AS n, r // g AS r, count(*) AS structures FROM (SELECT *, gcd(gcd(a, n), r) AS g FROM (SELECT count(CASE WHEN l_returnflag='A' THEN 1 END) AS a, count(CASE WHEN l_returnflag='N' THEN 1 END) AS n, count(CASE WHEN l_returnflag='R' THEN 1 END) AS r FROM lineitem GROUP BY l_orderkey) c) d GROUP BY 1, 2, 3")
 def a10_inventory(t):
     counts = a4_element_pivot(t)
-    # the divisor lies among the numbers up to the smallest positive count
-    most = F.greatest("a", "n", "r")
-    divides = lambda d: (F.col("a") % d == 0) & (F.col("n") % d == 0) & (F.col("r") % d == 0)
-    g = F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), most), divides))
+    g = gcd_of(F.array("a", "n", "r"))
     return counts.withColumn("g", g).groupBy(*((F.col(c) / F.col("g")).cast("bigint").alias(c) for c in "anr")).agg(F.count("*").alias("structures"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)")
 def a13_tail(t):
-    limit = t("orders").agg(F.percentile("o_totalprice", F.lit(0.95)).alias("q"))
-    return t("orders").join(F.broadcast(limit), F.col("o_totalprice") > F.col("q")).select("o_orderkey", "o_totalprice")  # one row
+    limit = exact_quantile(t("orders"), "o_totalprice", 0.95)
+    return t("orders").where(F.col("o_totalprice") > limit).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
@@ -236,19 +228,30 @@ def a21_project_counts(t):
 
 @query("SELECT nb, count(*) AS n FROM (SELECT a.event_id, count(b.event_id) AS nb FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts BETWEEN a.ts - INTERVAL '30' SECOND AND a.ts + INTERVAL '30' SECOND GROUP BY a.event_id) t GROUP BY nb")
 def j7_range_neighbours(t):
-    # a range frame over time per user counts neighbours without joining pairs
-    e = t("events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-30_000_000, 30_000_000)
-    return e.select((F.count("*").over(w) - 1).alias("nb")).groupBy("nb").agg(F.count("*").alias("n"))
+    # a range frame over time counts neighbours without joining pairs; a user's time is cut into hours, so that no
+    # user is one task, and rows near an hour's end stand in the next hour's frame as well
+    reach, hour = 30_000_000, 3_600_000_000
+    e = t("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    slots = F.array_distinct(F.array(*(F.floor((F.col("us") + s) / hour) for s in (-reach, 0, reach))))
+    e = e.withColumn("own", F.floor(F.col("us") / hour)).withColumn("slot", F.explode(slots))
+    w = Window.partitionBy("user_id", "slot").orderBy("us").rangeBetween(-reach, reach)
+    counted = e.withColumn("nb", F.count("*").over(w) - 1).where("slot = own")
+    return counted.groupBy("nb").agg(F.count("*").alias("n"))
 
 
 @query("SELECT i, j FROM (SELECT a.p_partkey AS i, b.p_partkey AS j, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(a.p_retailprice - b.p_retailprice), b.p_partkey) AS rk FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) t WHERE rk <= 2")
 def j8_knn(t):
-    p = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    q = p.toDF("j", "p_brand", "p_size", "price")
-    near = p.join(q, ["p_brand", "p_size"]).where("p_partkey <> j").withColumn("d", F.abs(F.col("p_retailprice") - F.col("price")))
-    rank = F.row_number().over(Window.partitionBy("p_partkey").orderBy("d", "j"))
-    return near.withColumn("rk", rank).where("rk <= 2").select(F.col("p_partkey").alias("i"), "j")
+    # the nearest lie among the two prices below, the own, and the two above, and of equal ones the three smallest keys
+    by = ["p_brand", "p_size"]
+    p = t("part").select("p_partkey", *by, "p_retailprice")
+    prices = p.groupBy(*by, "p_retailprice").agg(F.slice(F.array_sort(F.collect_set("p_partkey")), 1, 3).alias("keys"))
+    here = F.struct("p_retailprice", "keys")
+    w = Window.partitionBy(*by).orderBy("p_retailprice")
+    around = prices.withColumn("near", F.array_compact(F.array(here, *(f(here, n).over(w) for f in (F.lag, F.lead) for n in (1, 2)))))
+    close = p.join(around.drop("keys"), [*by, "p_retailprice"])
+    options = F.flatten(F.transform("near", lambda g: F.transform(g["keys"], lambda k: F.struct(F.abs(g["p_retailprice"] - F.col("p_retailprice")).alias("d"), k.alias("j")))))
+    best = F.slice(F.array_sort(F.filter(options, lambda o: o["j"] != F.col("p_partkey"))), 1, 2)
+    return close.select(F.col("p_partkey").alias("i"), F.explode(best).alias("b")).select("i", "b.j")
 
 
 @query("SELECT id FROM (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 400000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9000) t EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
