@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from framelake.operators.hierarchy import hierarchy
 from framelake.runtime import materialize
@@ -96,6 +97,11 @@ def _normal(name: str) -> str:
     return " ".join(name.split())
 
 
+def _like(table: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Rows with a table's columns, any of which may be missing."""
+    return table.sparkSession.createDataFrame(rows, StructType([StructField(f.name, f.dataType) for f in table.schema.fields]))
+
+
 def add_row(table: DataFrame, row: dict, unique: str | None = "name") -> tuple[DataFrame, int]:
     """The table with a new row and its id; a name that is there already is an error."""
     if "name" in row:
@@ -105,7 +111,7 @@ def add_row(table: DataFrame, row: dict, unique: str | None = "name") -> tuple[D
         if unique and table.where(F.lower(F.trim(unique)) == row[unique].lower()).limit(1).count():
             raise CatalogError(f"{row[unique]!r} exists")
     new = row.get("id") or (table.agg(F.max("id")).first()[0] or 0) + 1
-    one = table.sparkSession.createDataFrame([tuple({**row, "id": new}.get(c) for c in table.columns)], table.schema)
+    one = _like(table, [tuple({**row, "id": new}.get(c) for c in table.columns)])
     return table.unionByName(one), new
 
 
@@ -142,7 +148,7 @@ def tag_models(tags: DataFrame, links: DataFrame, model_id: int, names: list[str
             tags, known[w.lower()] = add_row(tags, {"name": w})
     kept = links.where(F.col("model_version_id") != model_id)
     rows = [tuple({"model_version_id": model_id, "tag_id": known[w.lower()]}.get(c) for c in links.columns) for w in wanted]
-    return tags, kept.unionByName(links.sparkSession.createDataFrame(rows, links.schema)) if rows else kept
+    return tags, kept.unionByName(_like(links, rows)) if rows else kept
 
 
 def remove_tag(tags: DataFrame, links: DataFrame, tag_id: int) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +204,7 @@ def import_catalog(catalog: dict, projects: DataFrame, models: DataFrame) -> tup
     for m in order:
         row = {**m, "id": new[m["id"]], "project_id": project, "parent_id": new.get(m.get("parent_id"))}
         rows.append(tuple(float(row.get(c) or 0) if c in ("energy", "force", "virial") else row.get(c) for c in models.columns))
-    return projects, models.unionByName(models.sparkSession.createDataFrame(rows, models.schema)) if rows else models, new
+    return projects, models.unionByName(_like(models, rows)) if rows else models, new
 
 
 def version_metrics(spark: SparkSession, folder: str) -> dict:
