@@ -60,7 +60,10 @@ def contracts(df: DataFrame) -> DataFrame:
     finite = shaped & _all_finite(F.flatten(pos)) & cell_shaped & _all_finite(F.flatten(lattice))
     pbc_ok = F.col("pbc").isNull() | (F.size("pbc").isin(1, 3) & F.forall("pbc", lambda b: b.isNotNull()))
     safe = F.when(cell_shaped, lattice)
-    cell_ok = F.coalesce(cell_status(safe, F.when(pbc_ok, flags(F.col("pbc"))).otherwise(F.array(*[F.lit(True)] * 3))).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    # columns of their own, so that they are not written out anew at every use
+    df = df.withColumn("_cell", safe).withColumn("_flags", F.when(pbc_ok, flags(F.col("pbc"))).otherwise(F.array(*[F.lit(True)] * 3)))
+    df = df.withColumn("_status", cell_status(F.col("_cell"), F.col("_flags")))
+    cell_ok = F.coalesce(F.col("_status").bitwiseAND(F.lit(1)) == 1, F.lit(False))
     known = F.coalesce((F.size(species) == n) & F.forall(species, lambda s: F.coalesce(s.isin(*SYMBOLS), F.lit(False))), F.lit(False))
     shapes = _label_shapes(n)
     bad_shape = reduce(lambda a, b: a | b, (F.col(k).isNotNull() & ~F.coalesce(ok, F.lit(False)) for k, ok in shapes.items()))
@@ -69,7 +72,7 @@ def contracts(df: DataFrame) -> DataFrame:
     tests = {"empty_structure": n <= 0, "nonfinite_geometry": ~finite, "invalid_pbc": ~pbc_ok, "invalid_cell": ~cell_ok, "unknown_elements": ~known, "invalid_label_shape": bad_shape, "nonfinite_labels": nonfinite}
     issues = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(r)) for r, t in tests.items())))
     ok = finite & cell_ok & pbc_ok & known
-    return df.withColumn("issues", issues).withColumn("geometry_ok", F.coalesce(ok, F.lit(False)))
+    return df.withColumn("issues", issues).withColumn("geometry_ok", F.coalesce(ok, F.lit(False))).drop("_cell", "_flags", "_status")
 
 
 def geometry_key(decimals: int = 8) -> Column:
