@@ -56,6 +56,16 @@ def point_key(composition: Column) -> Column:
     return F.array_join(F.transform(reduced_counts(composition), lambda e: F.concat_ws(":", e["symbol"], e["count"].cast("string"))), "|")
 
 
+def symbols_key(species: Column) -> Column:
+    """The symbols of all atoms in order, as one text: a cheap key that fixes the composition."""
+    return F.array_join(F.array_sort(species), " ")
+
+
+def symbols_point(key: Column) -> Column:
+    """:func:`point_key` from :func:`symbols_key`; it costs far more, so sum over equal keys before."""
+    return point_key(S.element_counts(F.split(key, " ")))
+
+
 def _nested(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Counts of ``value`` within each point as a sorted array of structs."""
     counts = rows.where(F.col(value).isNotNull()).groupBy("point", value).agg(F.count("*").alias("n"))

@@ -13,44 +13,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.neighbors import nearest, read_frames
+from framelake.operators.audit import symbols_point
+from framelake.operators.neighbors import by_size, frame_arrays, nearest_many, pieces, read_vectors
 
 LOW = 1e-7  # moments below count as none
 FIELDS = ("active", "mean_moment", "moment_std", "net_ratio", "collinearity", "coplanarity", "correlation", "abs_correlation", "parallel", "antiparallel", "q_peak")
 
 
-def evidence(pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, spins: np.ndarray, k: int = 12, q_max: int = 3) -> dict:
-    """Numbers that describe the order of one structure's moments."""
-    size = np.linalg.norm(spins, axis=1)
-    active, total = size > LOW, float(size.sum())
-    unit = spins[active] / size[active, None]
-    out = dict.fromkeys(FIELDS, 0.0) | {"active": int(active.sum()), "mean_moment": float(size.mean()) if len(size) else 0.0, "moment_std": float(size.std()) if len(size) else 0.0, "q": [0, 0, 0]}
-    if total <= LOW:
+def _peaks(pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, spins: np.ndarray, total: np.ndarray, q_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strength and wave vector of the strongest wave of each structure; the first one if several are equal."""
+    peak, best = np.zeros(len(pos)), np.zeros((len(pos), 3), np.int32)
+    turn = np.exp(2j * np.pi * (pos @ np.linalg.inv(cells)))
+    powers = [np.ones_like(turn)]
+    for _ in range(q_max):
+        powers.append(powers[-1] * turn)
+    powers = np.stack([*(np.conj(p) for p in powers[:0:-1]), *powers], 3)
+    for flags in np.unique(pbc, axis=0):
+        if not flags.any():
+            continue
+        at, begun, ranges = np.flatnonzero((pbc == flags).all(1)), False, []
+        for p in flags:  # one of every pair q and -q, by the sign of the first index that is not 0
+            ranges.append(range(0 if not begun else -q_max, q_max + 1) if p else range(1))
+            begun |= bool(p)
+        qs = np.array(list(product(*ranges)))
+        kept = np.array([any(q) and next(x for x in q if x) > 0 for q in qs])
+        x, y, z = (powers[at][:, :, i, r.start + q_max : r.stop + q_max] for i, r in enumerate(ranges))
+        left = (x[:, :, :, None] * y[:, :, None, :]).reshape(len(at), pos.shape[1], -1)
+        right = (z[:, :, :, None] * spins[at][:, :, None, :]).reshape(len(at), pos.shape[1], -1)
+        wave = (left.transpose(0, 2, 1) @ right).reshape(len(at), len(qs), 3)[:, kept]
+        strength = np.minimum(1.0, 2 * (wave.real**2 + wave.imag**2).sum(2) / total[at, None] ** 2)
+        peak[at] = strength.max(1)
+        best[at] = qs[kept][(strength >= peak[at, None] - 1e-9).argmax(1)]
+    return peak, best
+
+
+def evidence_many(pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, spins: np.ndarray, k: int = 12, q_max: int = 3) -> dict[str, np.ndarray]:
+    """Numbers that describe the order of the moments of structures with the same number of atoms."""
+    b, n = pos.shape[:2]
+    size = np.linalg.norm(spins, axis=2)
+    active, total = size > LOW, size.sum(1)
+    some = active.sum(1)
+    out = {f: np.zeros(b) for f in FIELDS} | {"active": some, "mean_moment": size.mean(1), "moment_std": size.std(1), "q": np.zeros((b, 3), np.int32)}
+    live = np.flatnonzero(total > LOW)
+    if not len(live):
         return out
-    out["net_ratio"] = float(np.linalg.norm(spins.sum(0)) / total)
-    w = np.linalg.eigvalsh(unit.T @ unit / len(unit))
-    out["collinearity"], out["coplanarity"] = float(np.clip(w[2], 0, 1)), float(np.clip(1 - 3 * w[0], 0, 1))
-    if len(unit) > 1:
-        got = nearest(pos, cell, pbc, min(k, len(pos) - 1))
-        if got is not None:
-            i, j = np.repeat(np.arange(len(pos)), got[0].shape[1]), got[0].ravel()
-            both = active[i] & active[j]
-            i, j = i[both], j[both]
-            dot = np.clip((spins[i] * spins[j]).sum(1) / (size[i] * size[j]), -1, 1)
-            if len(dot):
-                out |= {"correlation": float(dot.mean()), "abs_correlation": float(np.abs(dot).mean()), "parallel": float((dot >= 0.8).mean()), "antiparallel": float((dot <= -0.8).mean())}
-    if len(pos) > 1 and cell is not None and abs(np.linalg.det(cell)) > 1e-12:
-        frac = pos @ np.linalg.inv(cell)
-        # one of every pair q and -q, by the sign of the first index that is not 0
-        qs = np.array([q for q in product(*(range(-q_max, q_max + 1) if p else (0,) for p in pbc)) if any(q) and next(x for x in q if x) > 0])
-        if len(qs):
-            wave = np.exp(2j * np.pi * (qs @ frac.T)) @ spins
-            strength = np.minimum(1.0, 2 * (np.abs(wave) ** 2).sum(1) / total**2)
-            best = int(strength.argmax())
-            out["q_peak"], out["q"] = float(strength[best]), qs[best].tolist()
+    pos, cells, pbc, spins, size, active, total, some = (x[live] for x in (pos, cells, pbc, spins, size, active, total, some))
+    unit = np.where(active[..., None], spins / np.where(active, size, 1.0)[..., None], 0.0)
+    out["net_ratio"][live] = np.linalg.norm(spins.sum(1), axis=1) / total
+    w = np.linalg.eigvalsh(unit.transpose(0, 2, 1) @ unit / np.maximum(some, 1)[:, None, None])
+    out["collinearity"][live], out["coplanarity"][live] = np.clip(w[:, 2], 0, 1), np.clip(1 - 3 * w[:, 0], 0, 1)
+    pair = np.flatnonzero(some > 1)
+    if len(pair):
+        found, j, _, _ = nearest_many(pos[pair], cells[pair], pbc[pair], min(k, n - 1))
+        pair, j = pair[found], j[found]
+        row = pair[:, None, None]
+        both = active[pair][:, :, None] & active[row, j]
+        length = np.where(both, size[pair][:, :, None] * size[row, j], 1.0)
+        dot = np.clip(np.einsum("bik,bijk->bij", spins[pair], spins[row, j]) / length, -1, 1)
+        count = both.sum((1, 2))
+        mean = lambda x: np.where(both, x, 0.0).sum((1, 2)) / np.maximum(count, 1)
+        for name, value in (("correlation", dot), ("abs_correlation", np.abs(dot)), ("parallel", dot >= 0.8), ("antiparallel", dot <= -0.8)):
+            out[name][live[pair]] = mean(value)
+    if n > 1:
+        regular = np.flatnonzero(np.abs(np.linalg.det(cells)) > 1e-12)
+        out["q_peak"][live[regular]], out["q"][live[regular]] = _peaks(pos[regular], cells[regular], pbc[regular], spins[regular], total[regular], q_max)
     return out
 
 
+def evidence(pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, spins: np.ndarray, k: int = 12, q_max: int = 3) -> dict:
+    """The same of one structure."""
+    cells = np.full((1, 3, 3), np.nan) if cell is None else cell[None]
+    return {f: x[0].tolist() for f, x in evidence_many(pos[None], cells, np.asarray(pbc, bool)[None], spins[None], k, q_max).items()}
+
+
 def order_rule() -> tuple[Column, Column]:
     """Label and strength from the evidence's columns."""
     c = F.col
@@ -110,28 +145,38 @@ def layer_subtype(pos: np.ndarray, cell: np.ndarray, pbc: np.ndarray, spins: np.
     return max(found, default=(0.0, -1, ""))[2]
 
 
-def magnetic_evidence(df: DataFrame, key: str = "structure_id", spin: str = "spin") -> DataFrame:
-    """``key``, the evidence, ``label, strength, subtype`` of every structure with one moment per atom."""
-    names = [key, *FIELDS, "q", "subtype", "natoms"]
+def magnetic_evidence(df: DataFrame, key: str = "structure_id", spin: str = "spin", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, columns to keep, the evidence, ``label, strength, subtype`` of every structure with one moment per atom."""
+    names = [key, *keep, *FIELDS, "q", "subtype", "natoms"]
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, pos, cells, pbc = frame_arrays(b)
+        held, spins, _ = read_vectors(b[spin])
+        chosen = (n > 0) & (held == n)
+        owner = np.repeat(np.arange(b.num_rows), held)
+        chosen[owner[~np.isfinite(spins).all(1)]] = False
+        spins, pos = spins[chosen[owner]], pos[chosen[np.repeat(np.arange(b.num_rows), n)]]
+        n = np.where(chosen, n, 0)
+        out = {f: np.zeros(b.num_rows) for f in FIELDS} | {"q": np.zeros((b.num_rows, 3), np.int32)}
+        subtype = np.full(b.num_rows, "", object)
+        for rows, atoms in by_size(n, chosen):
+            for f, x in evidence_many(pos[atoms], cells[rows], pbc[rows], spins[atoms]).items():
+                out[f][rows] = x
+            layered = (out["collinearity"][rows] >= 0.9) & (out["active"][rows] >= 4) & (np.abs(np.linalg.det(cells[rows])) >= 1e-12)
+            for r, a in zip(rows[layered], atoms[layered]):
+                subtype[r] = layer_subtype(pos[a], cells[r], pbc[r], spins[a])
+        at = np.flatnonzero(chosen)
+        q = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 3, pa.int32()), pa.array(out["q"][at].ravel()))
+        columns = [b[c].take(pa.array(at)) for c in (key, *keep)]
+        return pa.record_batch([*columns, pa.array(out["active"][at].astype(np.int64)), *(pa.array(out[f][at]) for f in FIELDS[1:]), q, pa.array(subtype[at], pa.string()), pa.array(n[at], pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p.slice(x, 256) for p in batches for x in range(0, p.num_rows, 256)):
-            rows: list[tuple] = []
-            for i, ((pos, cell, pbc), spins) in enumerate(zip(read_frames(b), b[spin].to_pylist())):
-                if not len(pos) or spins is None or len(spins) != len(pos) or any(s is None or len(s) != 3 for s in spins):
-                    continue
-                m = np.array(spins, float)
-                if not np.isfinite(m).all():
-                    continue
-                e = evidence(pos, cell, pbc, m)
-                rows.append((i, *(e[f] for f in FIELDS), e["q"], layer_subtype(pos, cell, pbc, m) if cell is not None and e["collinearity"] >= 0.9 else "", len(pos)))
-            cols = list(zip(*rows)) or [[]] * (len(FIELDS) + 4)
-            kinds = [pa.int64(), *[pa.float64()] * (len(FIELDS) - 1), pa.list_(pa.int32()), pa.string(), pa.int32()]
-            yield pa.record_batch([b[key].take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names)
-
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, active bigint, " + ", ".join(f"{f} double" for f in FIELDS[1:]) + ", q array<int>, subtype string, natoms int"
-    out = df.select(key, "pos", "lattice", "pbc", spin).mapInArrow(run, schema)
+        for b in batches:
+            yield from map(one, pieces(b))
+
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (key, *keep))
+    schema = f"{kept}active bigint, " + ", ".join(f"{f} double" for f in FIELDS[1:]) + ", q array<int>, subtype string, natoms int"
+    out = df.select(key, *keep, "pos", "lattice", "pbc", spin).mapInArrow(run, schema)
     label, strength = order_rule()
     return out.withColumn("label", label).withColumn("strength", strength)
 
@@ -141,10 +186,18 @@ def partition_label() -> Column:
     return F.when((F.col("label") == "afm") & (F.col("subtype") != ""), F.concat(F.lit("afm_"), F.col("subtype"))).otherwise(F.col("label"))
 
 
-def magnetic_inventory(evidence_: DataFrame, points: DataFrame, key: str = "structure_id") -> DataFrame:
-    """Per composition point and label: structures, atoms and the atoms' share; point ``*`` sums all."""
-    rows = evidence_.join(points.select(key, "point"), key).select(partition_label().alias("label"), "natoms", F.explode(F.array("point", F.lit("*"))).alias("point"))
-    sums = rows.groupBy("point", "label").agg(F.count("*").alias("structures"), F.sum("natoms").alias("atoms"))
+def magnetic_inventory(evidence_: DataFrame, points: DataFrame | None = None, key: str = "structure_id") -> DataFrame:
+    """Per composition point and label: structures, atoms and the atoms' share; point ``*`` sums all.
+
+    Without ``points`` the evidence has a column ``symbols`` (:func:`symbols_key`).
+    """
+    both = F.explode(F.array("point", F.lit("*"))).alias("point")
+    if points is None:
+        rows = evidence_.groupBy("symbols", partition_label().alias("label")).agg(F.count("*").alias("n"), F.sum("natoms").alias("natoms"))
+        rows = rows.withColumn("point", symbols_point(F.col("symbols"))).select("label", "n", "natoms", both)
+    else:
+        rows = evidence_.join(points.select(key, "point"), key).select(partition_label().alias("label"), F.lit(1).alias("n"), "natoms", both)
+    sums = rows.groupBy("point", "label").agg(F.sum("n").alias("structures"), F.sum("natoms").alias("atoms"))
     return sums.join(sums.groupBy("point").agg(F.sum("atoms").alias("all")), "point").select("point", "label", "structures", "atoms", (F.col("atoms") / F.col("all")).alias("share"))
 
 

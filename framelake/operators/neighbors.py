@@ -19,6 +19,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -26,6 +27,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from framelake.functions.elements import RADIUS
 
 _BLOCK = 4_000_000  # distances held at once
+_CACHE = 50_000  # distances of small structures held at once, such that they stay near the core
 _DIRECT = 200  # atoms up to which all pairs of images are formed
 
 
@@ -150,6 +152,149 @@ def nearest(pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, k: int) -
     return j[at], d[at], v[at]
 
 
+def usable_cells(cells: np.ndarray, pbc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`usable_cell` of many structures, and which of them have one."""
+    out, finite, ok = np.tile(np.eye(3), (len(cells), 1, 1)), np.isfinite(cells).all((1, 2)), ~pbc.any(1)
+    whole = np.flatnonzero(pbc.all(1) & finite)
+    whole = whole[np.abs(np.linalg.det(cells[whole])) > 1e-12]
+    out[whole], ok[whole] = cells[whole], True
+    for flags in list(product((False, True), repeat=3))[1:-1]:
+        at, flags = np.flatnonzero((pbc == flags).all(1) & finite), np.array(flags)
+        if len(at):
+            _, size, basis = np.linalg.svd(cells[at][:, flags])
+            good = (size > 1e-12).all(1)
+            at, rest = at[good], np.flatnonzero(~flags)
+            out[at] = cells[at]
+            out[at[:, None], rest] = basis[good, int(flags.sum()) :]
+            ok[at] = True
+    return out, ok
+
+
+def _start_radius(pos: np.ndarray, measure: np.ndarray, pbc: np.ndarray, k: int) -> np.ndarray:
+    """A guess of the distance to the ``k``-th neighbour; ``measure`` is the volume, area or length of the periodic part."""
+    n, free = pos.shape[1], 3 - pbc.sum(1)
+    wide = np.prod(np.where(pbc, 1.0, np.ptp(pos, axis=1) + 1.0), axis=1)
+    ball = (3 * (k + 1) * measure * wide / (4 * np.pi * n)) ** (1 / 3)
+    flat = np.where(free == 1, np.sqrt((k + 1) * measure / (np.pi * n)), np.where(free == 2, (k + 1) * measure / (2 * n), 0.0))
+    return 1.12 * np.maximum(ball, flat)
+
+
+def _k_nearest(pos: np.ndarray, cell: np.ndarray, shifts: np.ndarray, radius: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which structures have ``k`` images within the radius around every atom; their nearest ones in order of distance, atom and image."""
+    b, n, m = len(pos), pos.shape[1], len(shifts)
+    base, moved = pos[:, None, :, :] - pos[:, :, None, :], shifts @ cell  # neighbour minus centre
+    one, far = np.ones((b, n * n, 1)), (moved**2).sum(2, keepdims=True)
+    apart = np.concatenate([2 * base.reshape(b, n * n, 3), (base**2).sum(3).reshape(b, n * n, 1), one], 2)
+    near = apart @ np.concatenate([moved, np.ones((b, m, 1)), far], 2).transpose(0, 2, 1) <= (radius * radius * (1 - 1e-9))[:, None, None]
+    near.reshape(b, n, n, m)[:, np.arange(n), np.arange(n), m // 2] = False  # the atom itself
+    pair, shift = np.nonzero(near.reshape(b * n * n, m))
+    centre = pair // n
+    count = np.bincount(centre, minlength=b * n)
+    good = (count.reshape(b, n) >= k).all(1)
+    v = base.reshape(-1, 3)[pair] + moved.reshape(-1, 3)[centre // n * m + shift]
+    d = np.sqrt(np.einsum("ij,ij->i", v, v))
+    first, width = np.cumsum(count) - count, int(count.max(initial=1))
+    place = np.arange(len(pair)) - first[centre]
+    bits = width.bit_length()
+    table = np.full((b * n, width), np.iinfo(np.int64).max)
+    table[centre, place] = (np.rint(d * 1e9).astype(np.int64) << bits) | place
+    rows = np.repeat(good, n)
+    table = table[rows]
+    table.sort(1)
+    at = first[rows, None] + (table[:, :k] & ((1 << bits) - 1))
+    shape = (int(good.sum()), n, k)
+    return good, (pair[at] % n).reshape(shape), d[at].reshape(shape), v[at].reshape(*shape, 3)
+
+
+def nearest_many(pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`nearest` of structures with the same number of atoms: which of them have ``k`` neighbours, and these (0 elsewhere)."""
+    b, n = pos.shape[:2]
+    j, d, v = np.zeros((b, n, k), np.int64), np.zeros((b, n, k)), np.zeros((b, n, k, 3))
+    if n > _DIRECT:
+        got = [nearest(p, c, f, k) for p, c, f in zip(pos, cells, pbc)]
+        for i, g in enumerate(got):
+            if g is not None:
+                j[i], d[i], v[i] = g
+        return np.array([g is not None for g in got], bool), j, d, v
+    cell, ok = usable_cells(cells, pbc)
+    ok &= np.isfinite(pos).all((1, 2)) & (pbc.any(1) | (n > k)) & (n > 0)
+    left = np.flatnonzero(ok)
+    inverse = np.linalg.inv(cell[left])
+    frac = pos[left] @ inverse
+    frac -= np.where(pbc[left][:, None], np.floor(frac), 0.0)
+    wrapped = frac @ cell[left]
+    high = 1 / np.linalg.norm(inverse, axis=1)
+    radius = _start_radius(wrapped, np.abs(np.linalg.det(cell[left])), pbc[left], k)
+    todo = np.arange(len(left))
+    while len(todo):
+        count = np.where(pbc[left[todo]], np.floor(radius[todo, None] / high[todo]).astype(int) + 1, 0)
+        kinds, which = np.unique(count, axis=0, return_inverse=True)
+        which, missed = which.ravel(), []
+        for kind, images in enumerate(kinds):
+            members = todo[which == kind]
+            shifts = np.array(list(product(*(range(-c, c + 1) for c in images))), float)
+            step = max(1, _CACHE // (n * n * len(shifts)))
+            for part in (members[x : x + step] for x in range(0, len(members), step)):
+                at = left[part]
+                good, *found = _k_nearest(wrapped[part], cell[at], shifts, radius[part], k)
+                j[at[good]], d[at[good]], v[at[good]] = found
+                missed.append(part[~good])
+        todo = np.sort(np.concatenate(missed))
+        radius[todo] *= 1.2
+    return ok, j, d, v
+
+
+def read_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of 3-vectors of every row, all vectors, and which rows are not null and well formed; others have none."""
+    length = lambda a: pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, inner = length(column), column.flatten()
+    width, values = length(inner), inner.flatten()
+    good = n > 0
+    if values.null_count or not (width == 3).all():
+        null = np.repeat(np.arange(len(width)), width)[values.is_null().to_numpy(zero_copy_only=False)]
+        bad = width != 3
+        bad[null] = True
+        good &= np.bincount(np.repeat(np.arange(len(n)), n), bad, minlength=len(n)) == 0
+        values = values.filter(pa.array(np.repeat(np.repeat(good, n), width)))
+    return np.where(good, n, 0), values.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, 3), good
+
+
+def frame_arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`read_frames` as arrays: numbers of atoms, all positions, cells (not a number where missing) and periodicity."""
+    n, pos, _ = read_vectors(b["pos"])
+    count, rows, good = read_vectors(b["lattice"])
+    cells = np.full((b.num_rows, 3, 3), np.nan)
+    cells[count == 3] = rows[np.repeat(count == 3, count)].reshape(-1, 3, 3)
+    flags = np.ones((b.num_rows, 3), bool)
+    width = pc.list_value_length(b["pbc"]).fill_null(0).to_numpy(zero_copy_only=False)
+    values = b["pbc"].flatten()
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(b.num_rows), width)
+    whole = (width == 3) & (np.bincount(owner, known, minlength=b.num_rows) == 3)
+    flags[whole] = values.fill_null(False).to_numpy(zero_copy_only=False)[whole[owner]].reshape(-1, 3)
+    flags[b["lattice"].is_null().to_numpy(zero_copy_only=False) & b["pbc"].is_null().to_numpy(zero_copy_only=False)] = False
+    return n, pos, cells, flags
+
+
+def pieces(b: pa.RecordBatch, rows: int = 10_000, atoms: int = 40_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows and atoms at most; a larger structure is a part of its own."""
+    total = np.cumsum(pc.list_value_length(b["pos"]).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < b.num_rows:
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, min(begin + rows, int(np.searchsorted(total, before + atoms, "right"))))
+        yield b.slice(begin, end - begin)
+        begin = end
+
+
+def by_size(n: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each number of atoms among the chosen ones, and the places of their atoms."""
+    first = np.cumsum(n) - n
+    for size in np.unique(n[chosen]):
+        at = np.flatnonzero(chosen & (n == size))
+        yield at, first[at, None] + np.arange(size)
+
+
 def read_frames(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
     """Positions, cell and periodicity of every row; malformed positions come back empty."""
     out = []

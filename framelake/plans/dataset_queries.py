@@ -427,9 +427,8 @@ def s_a19_phases(t):
 
 @query()
 def s_a20_magnetic(t):
-    f = frames(t).where(F.size("species") > 0).withColumn("spin", F.col("forces"))
-    points = f.select("structure_id", A.point_key(S.element_counts(F.col("species"))).alias("point"))
-    return B.magnetic_inventory(B.magnetic_evidence(f), points)
+    f = frames(t).where(F.size("species") > 0).withColumn("spin", F.col("forces")).withColumn("symbols", A.symbols_key(F.col("species")))
+    return B.magnetic_inventory(B.magnetic_evidence(f, keep=("symbols",)))
 
 
 @query()

@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
 
+from framelake.functions.structure import element_counts
 from framelake.generators import cells
 from framelake.generators.base import Frame
 from framelake.operators import magnetic, phases
-from framelake.operators.neighbors import bad_bonds, bonds, distance_matrix, nearest, pairs_within
+from framelake.operators.audit import point_key, symbols_key
+from framelake.operators.neighbors import bad_bonds, bonds, distance_matrix, frame_arrays, nearest, nearest_many, pairs_within, pieces, read_frames
 
 
 def crystal(kind, a=3.6, n=2, kinds=("Fe", "Ni"), covera=1.633, noise=0.0, seed=0):
@@ -55,6 +57,53 @@ def test_nearest_images_and_degenerate_input():
     assert [b[:2] for b in bonds(np.array([[0, 0, 0], [0.7, 0, 0], [3.0, 0, 0]]), ["H", "H", "H"])] == [(0, 1)] and len(bad_bonds(np.array([[0, 0, 0], [0.4, 0, 0]]), ["H", "H"])) == 1
 
 
+def mixed_frames(sizes=(1, 2, 5, 7, 18)):
+    """Random and crystalline structures with every periodicity, and some without a usable cell or position."""
+    rng, out = np.random.default_rng(8), []
+    for n in sizes:
+        for p in np.ndindex(2, 2, 2):
+            cell = np.eye(3) * rng.uniform(3, 6, 3) + rng.uniform(-1, 1, (3, 3)) * 0.8
+            out.append((rng.uniform(-1, 2, (n, 3)) @ cell, cell, np.array(p, bool)))
+    whole = np.ones(3, bool)
+    for f in (crystal("fcc", n=1), crystal("b2", n=1), crystal("diamond", n=1)):
+        out.append((f.pos, f.lattice, whole))
+    return [*out, (out[0][0], np.zeros((3, 3)), whole), (out[0][0], None, whole), (out[8][0] * np.nan, out[8][1], whole)]
+
+
+@pytest.mark.parametrize("k", [4, 24])
+@pytest.mark.parametrize("cache", [50_000, 1])
+def test_nearest_of_many_equals_one_by_one(k, cache, monkeypatch):
+    monkeypatch.setattr("framelake.operators.neighbors._CACHE", cache)
+    frames = mixed_frames()
+    for n in {len(f[0]) for f in frames}:
+        same = [f for f in frames if len(f[0]) == n]
+        cells = np.array([np.full((3, 3), np.nan) if c is None else c for _, c, _ in same])
+        ok, j, d, v = nearest_many(np.array([f[0] for f in same]), cells, np.array([f[2] for f in same]), k)
+        for i, f in enumerate(same):
+            want = nearest(*f, k)
+            assert ok[i] == (want is not None)
+            if want is not None:
+                assert (j[i] == want[0]).all() and np.allclose(d[i], want[1]) and np.allclose(v[i], want[2])
+
+
+def test_frames_as_arrays_and_pieces():
+    import pyarrow as pa
+
+    good, cell = [[0.0, 1.0, 2.0], [1.0, 1.0, float("nan")]], [[4.0, 0, 0], [0, 4.0, 0], [0, 0, 4.0]]
+    pos = [good, None, [], [[0.0, 1.0]], [[0.0, None, 1.0]], [None, [0.0, 0.0, 0.0]], good[:1], good, good]
+    lattice = [cell, cell, cell, cell, cell, cell, None, None, [cell[0], cell[1], [None, 0.0, 4.0]]]
+    pbc = [[True, False, True], None, [True] * 3, [True] * 2, [None] * 3, [True] * 3, None, [True, True, None], [False] * 3]
+    vec = pa.list_(pa.list_(pa.float64()))
+    b = pa.record_batch([pa.array(pos, vec), pa.array(lattice, vec), pa.array(pbc, pa.list_(pa.bool_()))], ["pos", "lattice", "pbc"]).slice(0)
+    for part in (b, b.slice(4)):
+        n, every, cells, flags = frame_arrays(part)
+        first = np.cumsum(n) - n
+        for i, (p, c, f) in enumerate(read_frames(part)):
+            assert np.array_equal(every[first[i] : first[i] + n[i]], p, equal_nan=True) and (flags[i] == f).all()
+            assert np.isnan(cells[i]).any() if c is None or not c.any() else (cells[i] == c).all()
+    assert [x.num_rows for x in pieces(b, rows=4, atoms=3)] == [4, 2, 2, 1] and [x.num_rows for x in pieces(b, atoms=1)][0] == 1
+
+
 @pytest.mark.parametrize("kind", ["fcc", "hcp", "bcc"])
 @pytest.mark.parametrize("noise", [0.0, 0.05])
 def test_crystals_are_recognised(kind, noise):
@@ -126,3 +175,27 @@ def test_magnetic_orders(spark):
     assert (m.element, m.atoms, m.mean) == ("Fe", 128, pytest.approx(2.2))
     pair = magnetic.pair_alignment(df.where("structure_id = 1"), 2.6).first()
     assert pair.antiparallel == 1.0 and pair.mean == pytest.approx(-1.0)
+
+
+def test_magnetic_evidence_of_a_batch_is_computed_together(spark, monkeypatch):
+    """Every structure of one size in one pass: the single kernels are not called, and evidence equals that of each alone."""
+    frames = [f for f in mixed_frames((1, 2, 5, 7)) if f[1] is not None and np.isfinite(f[0]).all()]
+    rng = np.random.default_rng(2)
+    spins = [rng.normal(size=p.shape) * (rng.random((len(p), 1)) > 0.2) for p, _, _ in frames]
+    rows = [(i, ["Fe", "O", "O", "C", "Fe", "C", "H"][: len(p)] if len(p) < 8 else ["Fe"] * len(p), p.tolist(), c.tolist(), f.tolist(), s.tolist(), f"p{i}") for i, ((p, c, f), s) in enumerate(zip(frames, spins))]
+    rows.append((99, ["Fe"], [[0.0, 0.0, 0.0]], None, [False] * 3, [[float("nan"), 0.0, 0.0]], "x"))
+    df = spark.createDataFrame(rows, "structure_id bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>, spin array<array<double>>, point string")
+    got = {r.structure_id: r for r in magnetic.magnetic_evidence(df, keep=("point",)).collect()}
+    assert len(got) == len(frames)
+    for i, (f, s) in enumerate(zip(frames, spins)):
+        want = magnetic.evidence(*f, s)
+        assert all(abs(got[i][c] - want[c]) < 1e-9 for c in magnetic.FIELDS) and list(got[i].q) == want["q"] and got[i].point == f"p{i}"
+        waves = [2 * (np.abs(np.exp(2j * np.pi * (f[0] @ np.linalg.inv(f[1]) @ np.array(q))) @ s) ** 2).sum() / np.linalg.norm(s, axis=1).sum() ** 2 for q in np.ndindex(7, 7, 7) for q in [np.array(q) - 3] if q.any() and not q[~f[2]].any()] if len(s) > 1 and abs(np.linalg.det(f[1])) > 1e-12 and s.any() else []
+        assert want["q_peak"] == pytest.approx(min(1.0, max(waves, default=0.0)))
+    calls = []
+    monkeypatch.setattr(magnetic, "nearest_many", lambda pos, *a: calls.append(len(pos)) or nearest_many(pos, *a))
+    magnetic.evidence_many(np.array([frames[8][0]] * 30), np.array([frames[8][1]] * 30), np.array([frames[8][2]] * 30), np.ones((30, 2, 3)))
+    assert calls == [30]
+    df = df.withColumn("symbols", symbols_key(df.species))
+    points = df.select("structure_id", point_key(element_counts(df.species)).alias("point"))
+    assert sorted(magnetic.magnetic_inventory(magnetic.magnetic_evidence(df, keep=("symbols",))).collect()) == sorted(magnetic.magnetic_inventory(magnetic.magnetic_evidence(df), points).collect())
