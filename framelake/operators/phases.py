@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.generators.cells import PROTOTYPES
-from framelake.operators.neighbors import nearest, read_frames
+from framelake.operators.audit import symbols_point
+from framelake.operators.neighbors import by_size, frame_arrays, nearest, nearest_many, pieces
 
 CLASSES = ("fcc", "hcp", "bcc", "other")
 STRONG, MIXED = 0.80, 0.50
@@ -114,27 +116,142 @@ def translational_order(vectors: np.ndarray) -> float:
     return float((away < 0.15 * scale).mean())
 
 
+def classify_many(d: np.ndarray, v: np.ndarray, gap: float = 1.08) -> np.ndarray:
+    """Places in :data:`CLASSES` of atoms by :func:`classify`, in order of their distance."""
+    wide = lambda i: np.flatnonzero(d[:, i] / d[:, i - 1] >= gap) if d.shape[1] > i else np.zeros(0, int)
+    out = np.full(len(d), CLASSES.index("other"))
+
+    def bonds(at: np.ndarray, n: int, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bonds between the first neighbours, common neighbours of two that are bonded, and bonds among the common ones of each."""
+        near = v[at, :n]
+        b = (np.linalg.norm(near[:, :, None] - near[:, None], axis=3) <= cutoff[:, None, None]).astype(np.float32)
+        b[:, np.arange(n), np.arange(n)] = 0
+        common = (b @ b) * b
+        return b, common, common.sum(2) / 2
+
+    for at in _blocks(wide(12)):
+        b, common, among = bonds(at, 12, d[at, :12].mean(1) * (1 + np.sqrt(2)) / 2)
+        close = ((b.sum(2) == 4) & (among == 2)).all(1)
+        chains = (common.max(2) == 2).sum(1)  # two bonds of the common neighbours meet
+        out[at[close & (chains == 0)]], out[at[close & (chains == 6)]] = CLASSES.index("fcc"), CLASSES.index("hcp")
+    for at in _blocks(wide(14)):
+        at = at[out[at] == CLASSES.index("other")]
+        unit = (d[at, :8].mean(1) * 2 / np.sqrt(3) + d[at, 8:14].mean(1)) / 2
+        b, _, among = bonds(at, 14, unit * (1 + np.sqrt(2)) / 2)
+        degree = b.sum(2)
+        six = (degree == 6) & (among == 6)
+        likely = np.flatnonzero((((degree == 4) & (among == 4)).sum(1) == 6) & (six.sum(1) == 8))
+        if len(likely):
+            # six common neighbours with six bonds are one chain of five or six unless they are two triangles
+            sub = b[likely][:, :, :, None] * b[likely][:, :, None, :] * b[likely][:, None]
+            triangles = np.einsum("paij,paji->pa", sub @ sub, sub) / 6
+            rings = (sub.sum(3) == 2).sum(2) == 6
+            out[at[likely[~(six[likely] & rings & (triangles == 2)).any(1)]]] = CLASSES.index("bcc")
+    return out
+
+
+def _blocks(at: np.ndarray, rows: int = 2_000) -> Iterator[np.ndarray]:
+    return (at[x : x + rows] for x in range(0, len(at), rows))
+
+
+def shell_profiles(d: np.ndarray, same: np.ndarray, shells: int = 3, tolerance: float = 0.08) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`shell_profile` of many atoms: relative distance, size and like atoms of the shells; size 0 where there is none."""
+    shell = np.zeros(d.shape, np.int8)
+    shell[:, 1:] = np.cumsum(d[:, 1:] > d[:, :-1] * (1 + tolerance), axis=1)
+    size, like, far = (np.zeros((len(d), shells), t) for t in (int, int, float))
+    for i in range(shells):
+        inside = shell == i
+        size[:, i], like[:, i] = inside.sum(1), (inside & same).sum(1)
+        far[:, i] = np.einsum("ij,ij->i", d, inside) / np.maximum(size[:, i], 1) / d[:, 0]
+    return far, size, like
+
+
+def template_hits(far: np.ndarray, size: np.ndarray, like: np.ndarray, wanted: list, shells: int = 2, tolerance: float = 0.06) -> tuple[np.ndarray, np.ndarray]:
+    """Atoms whose first shells agree with one of the profiles in geometry, and in chemistry too, as :func:`matches`."""
+    geometry, chemistry = np.zeros(len(far), bool), np.zeros(len(far), bool)
+    for w in dict.fromkeys(tuple(p[:shells]) for p in wanted if len(p) >= shells):
+        r, n, s = (np.array(x) for x in zip(*w))
+        g = ((size[:, :shells] == n) & (np.abs(far[:, :shells] - r) <= tolerance)).all(1)
+        geometry |= g
+        chemistry |= g & (like[:, :shells] == s).all(1)
+    return geometry, chemistry
+
+
+def orders(d: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """:func:`translational_order` of many atoms."""
+    out, k = np.zeros(len(d)), d.shape[1]
+    whole = 8 + (d[:, 8:] / d[:, 7:-1]).argmax(1) if k > 8 else np.full(len(d), k)
+    for at in _blocks(np.arange(len(d)), 100):
+        n, used = whole[at], np.arange(k) < whole[at, None]
+        square = (v[at] ** 2).sum(2, keepdims=True)
+        one = np.ones_like(square)
+        left = np.concatenate([2 * v[at], one, np.where(used[:, :, None], square, np.inf)], 2)
+        right = np.concatenate([v[at], square, one], 2)
+        away = (left @ right.transpose(0, 2, 1)).min(1)  # by symmetry, over complete shells only
+        out[at] = ((away < (0.15 * d[at, :1]) ** 2) & used).sum(1) / n
+    return out
+
+
+def sketches(pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, kinds: np.ndarray, k: int = 24) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """:func:`structure_sketch` of structures with the same number of atoms: which of them have enough neighbours, and numbers of these."""
+    found, j, d, v = nearest_many(pos, cells, pbc, k)
+    j, d, v, kinds = j[found], d[found], v[found], kinds[found]
+    b, n = kinds.shape
+    same = kinds[np.arange(b)[:, None, None], j] == kinds[:, :, None]
+    flat, vectors = d.reshape(-1, k), v.reshape(-1, k, 3)
+    classes = classify_many(flat, vectors).reshape(b, n)
+    profile = shell_profiles(flat, same.reshape(-1, k))
+    hits = [template_hits(*profile, wanted) for wanted in TEMPLATES.values()]
+    rel = d / d[:, :, :1]
+    return found, {
+        "fractions": np.stack([(classes == c).sum(1) / n for c in range(len(CLASSES))], 1), "geometry": np.stack([g.reshape(b, n).mean(1) for g, _ in hits], 1),
+        "chemistry": np.stack([c.reshape(b, n).mean(1) for _, c in hits], 1), "order": orders(flat, vectors).reshape(b, n).mean(1),
+        "fingerprint": np.concatenate([rel.mean(1), rel.std(1), profile[1][:, 0].reshape(b, n).mean(1)[:, None]], 1), "neighbours": j, "distances": d,
+    }
+
+
 def structure_sketch(pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, species: list[str], k: int = 24) -> dict | None:
     """Fractions of the classes, prototype scores, and a fingerprint of shells; None without enough neighbours."""
-    got = nearest(pos, cell, pbc, k)
-    if got is None:
+    if not len(pos):
         return None
-    j, d, v = got
-    kinds = np.array(species)
-    classes = Counter(classify(d[i], v[i]) for i in range(len(pos)))
-    n = len(pos)
-    fractions = {c: classes[c] / n for c in CLASSES}
-    profiles = [shell_profile(d[i], kinds[j[i]] == kinds[i]) for i in range(n)]
-    scores = {}
-    for name, wanted in TEMPLATES.items():
-        hits = [max((matches(p, w) for w in wanted), key=sum) for p in profiles]
-        geometry, chemistry = sum(g for g, _ in hits) / n, sum(c for _, c in hits) / n
-        scores[name] = (geometry, chemistry)
-    rel = d / d[:, :1]
-    return {
-        "fractions": fractions, "prototypes": scores, "order": float(np.mean([translational_order(x) for x in v])),
-        "fingerprint": [*rel.mean(0).tolist(), *rel.std(0).tolist(), float(np.mean([p[0][1] for p in profiles]))],
-    }
+    cells = np.full((1, 3, 3), np.nan) if cell is None else cell[None]
+    found, s = sketches(pos[None], cells, np.asarray(pbc, bool)[None], np.unique(species, return_inverse=True)[1].reshape(1, -1), k)
+    if not found[0]:
+        return None
+    prototypes = {t: (float(g), float(c)) for t, g, c in zip(TEMPLATES, s["geometry"][0], s["chemistry"][0])}
+    return {"fractions": dict(zip(CLASSES, s["fractions"][0].tolist())), "prototypes": prototypes, "order": float(s["order"][0]), "fingerprint": s["fingerprint"][0].tolist()}
+
+
+def _orderings(pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, kinds: np.ndarray, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed ordering of each sketched structure, or None, and its score."""
+    b, n = kinds.shape
+    order, score, d = np.full(b, None, object), np.zeros(b), s["distances"]
+    ranked = np.sort(kinds, 1)
+    number = 1 + (np.diff(ranked, axis=1) != 0).sum(1)
+    first = (kinds == ranked[:, :1]).sum(1)
+    minor = np.where((2 * first < n)[:, None], ranked[:, :1], ranked[:, -1:]) == kinds  # with two elements, the rarer one
+    few, two = minor.sum(1), number == 2
+    share = lambda x, of: (x & of).sum(1) / np.maximum(of.sum(1), 1)
+    gap = lambda i: d[:, :, i] / d[:, :, i - 1] >= 1.05
+    laves = np.flatnonzero(two & (n == 3 * few) & (share(gap(16), minor) >= 0.8) & (share(gap(12), ~minor) >= 0.8))
+    for i in laves:
+        got = laves_kind(pos[i], cells[i], pbc[i], kinds[i].tolist())
+        if got is not None:
+            order[i], score[i] = got[0], 1.0
+    free = order == None  # noqa: E711 - elementwise
+    like = minor[np.arange(b)[:, None, None], s["neighbours"][:, :, :12]].sum(2)
+    l12 = np.where(two & (n == 4 * few), np.where(minor, like == 0, like == 4).mean(1), 0.0)
+    at = free & (s["fractions"][:, 0] >= 0.5) & (l12 >= MATCH[1])
+    order[at], score[at] = "l12", l12[at]
+    free &= ~at
+    # l12 has its own gate; a prototype counts by geometry and chemistry, the last name of equal ones
+    for name in sorted(TEMPLATES):
+        i = list(TEMPLATES).index(name)
+        if name != "l12":
+            g, c = s["geometry"][:, i], s["chemistry"][:, i]
+            at = free & (g >= MATCH[0]) & (c >= MATCH[2]) & ((number == 1) == (name == "diamond")) & (c >= score)
+            order[at], score[at] = name, c[at]
+    return order, score
 
 
 def central_symmetry(vectors: np.ndarray, n: int = 12) -> float:
@@ -213,47 +330,63 @@ def label_rule(fractions: Column, ordering: Column) -> tuple[Column, Column]:
     return label, strength
 
 
-def phase_evidence(df: DataFrame, key: str = "structure_id") -> DataFrame:
-    """``key`` and the evidence of every structure with enough neighbours; labels as :func:`label_rule`."""
-    names = [key, "natoms", "fractions", "prototypes", "ordering", "ordering_score", "fingerprint", "order"]
+def phase_evidence(df: DataFrame, key: str = "structure_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, columns to keep and the evidence of every structure with enough neighbours; labels as :func:`label_rule`."""
+    names = [key, *keep, "natoms", "fractions", "prototypes", "ordering", "ordering_score", "fingerprint", "order"]
+
+    def scores(labels: tuple[str, ...], values: np.ndarray) -> pa.Array:
+        offsets = pa.array(np.arange(len(values) + 1) * len(labels), pa.int32())
+        return pa.MapArray.from_arrays(offsets, pa.array(list(labels) * len(values), pa.string()), pa.array(values.ravel(), pa.float64()))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, pos, cells, pbc = frame_arrays(b)
+        held = pc.list_value_length(b["species"]).fill_null(0).to_numpy(zero_copy_only=False)
+        species = pc.fill_null(b["species"].flatten(), "").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        chosen = (n > 0) & (held == n)
+        owner = np.arange(b.num_rows)
+        species, pos = species[chosen[np.repeat(owner, held)]], pos[chosen[np.repeat(owner, n)]]
+        n = np.where(chosen, n, 0)
+        parts: dict[str, list] = {c: [] for c in ("at", "fractions", "chemistry", "ordering", "score", "fingerprint", "order")}
+        for rows, atoms in by_size(n, chosen):
+            found, s = sketches(pos[atoms], cells[rows], pbc[rows], species[atoms])
+            rows, atoms = rows[found], atoms[found]
+            s["ordering"], s["score"] = _orderings(pos[atoms], cells[rows], pbc[rows], species[atoms], s)
+            for c, x in (s | {"at": rows}).items():
+                if c in parts:
+                    parts[c].append(x)
+        if not parts["at"]:
+            return pa.RecordBatch.from_pylist([], pa.schema([*((c, b.schema.field(c).type) for c in (key, *keep)), *zip(names[1 + len(keep) :], kinds)]))
+        sort = np.argsort(np.concatenate(parts["at"]))
+        at, fractions, chemistry, ordering, score, fingerprint, order = (np.concatenate(x)[sort] for x in parts.values())
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * fingerprint.shape[1], pa.int32()), pa.array(fingerprint.ravel(), pa.float64()))
+        columns = [b[c].take(pa.array(at)) for c in (key, *keep)]
+        return pa.record_batch([*columns, pa.array(n[at], pa.int32()), scores(CLASSES, fractions), scores(tuple(TEMPLATES), chemistry), pa.array(ordering, pa.string()), pa.array(score), prints, pa.array(order)], names)
+
     kinds = [pa.int32(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.float64()), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p.slice(x, 128) for p in batches for x in range(0, p.num_rows, 128)):
-            rows: list[list] = [[] for _ in names]
-            for i, (frame, species) in enumerate(zip(read_frames(b), b["species"].to_pylist())):
-                if not species or len(species) != len(frame[0]):
-                    continue
-                s = structure_sketch(*frame, species)
-                if s is None:
-                    continue
-                order, score = None, 0.0
-                laves = laves_kind(*frame, species)
-                if laves is not None:
-                    order, score = laves[0], 1.0
-                elif s["fractions"]["fcc"] >= 0.5 and l12_ordered(*frame, species) >= MATCH[1]:
-                    order, score = "l12", l12_ordered(*frame, species)
-                else:
-                    # l12 has its own gate; a prototype counts by geometry and chemistry
-                    found = [(c, k) for k, (g, c) in s["prototypes"].items() if k != "l12" and g >= MATCH[0] and c >= MATCH[2] and (k == "diamond") == (len(set(species)) == 1)]
-                    if found:
-                        score, order = max(found)
-                values = (i, len(species), list(s["fractions"].items()), [(k, c) for k, (_, c) in s["prototypes"].items()], order, score, s["fingerprint"], s["order"])
-                for acc, v in zip(rows, values):
-                    acc.append(v)
-            yield pa.record_batch([b[key].take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], kinds))], names)
-
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, "species", "pos", "lattice", "pbc").mapInArrow(run, f"`{key}` {kind}, natoms int, fractions map<string,double>, prototypes map<string,double>, ordering string, ordering_score double, fingerprint array<double>, order double")
+        for b in batches:
+            yield from map(one, pieces(b, rows=5_000, atoms=20_000))
+
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (key, *keep))
+    out = df.select(key, *keep, "species", "pos", "lattice", "pbc").mapInArrow(run, f"{kept}natoms int, fractions map<string,double>, prototypes map<string,double>, ordering string, ordering_score double, fingerprint array<double>, order double")
     label, strength = label_rule(F.col("fractions"), F.col("ordering"))
     confidence = F.when(F.col("ordering").isNotNull(), F.col("ordering_score")).otherwise(F.array_max(F.map_values(F.map_filter("fractions", lambda k, _: k != "other"))))
     return out.withColumn("label", label).withColumn("strength", strength).withColumn("confidence", confidence)
 
 
-def phase_inventory(evidence: DataFrame, points: DataFrame, key: str = "structure_id") -> DataFrame:
-    """Per composition point (``key, point``) and label: structures, atoms, the atoms' share and mean confidence; point ``*`` sums all."""
-    rows = evidence.join(points.select(key, "point"), key).select("label", "natoms", "confidence", F.explode(F.array("point", F.lit("*"))).alias("point"))
-    sums = rows.groupBy("point", "label").agg(F.count("*").alias("structures"), F.sum("natoms").alias("atoms"), F.avg("confidence").alias("confidence"))
+def phase_inventory(evidence: DataFrame, points: DataFrame | None = None, key: str = "structure_id") -> DataFrame:
+    """Per composition point (``key, point``) and label: structures, atoms, the atoms' share and mean confidence; point ``*`` sums all.
+
+    Without ``points`` the evidence has a column ``symbols`` (:func:`symbols_key`).
+    """
+    both = F.explode(F.array("point", F.lit("*"))).alias("point")
+    if points is None:
+        rows = evidence.groupBy("symbols", "label").agg(F.count("*").alias("n"), F.sum("natoms").alias("natoms"), F.sum("confidence").alias("sum"), F.count("confidence").alias("known"))
+        rows = rows.withColumn("point", symbols_point(F.col("symbols"))).select("label", "n", "natoms", "sum", "known", both)
+    else:
+        rows = evidence.join(points.select(key, "point"), key).select("label", F.lit(1).alias("n"), "natoms", F.col("confidence").alias("sum"), F.when(F.col("confidence").isNotNull(), 1).otherwise(0).alias("known"), both)
+    sums = rows.groupBy("point", "label").agg(F.sum("n").alias("structures"), F.sum("natoms").alias("atoms"), F.try_divide(F.sum("sum"), F.sum("known")).alias("confidence"))
     total = sums.groupBy("point").agg(F.sum("atoms").alias("all"))
     return sums.join(total, "point").select("point", "label", "structures", "atoms", (F.col("atoms") / F.col("all")).alias("share"), "confidence")
 

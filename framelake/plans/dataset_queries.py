@@ -420,9 +420,8 @@ def s_t7_balanced(t):
 
 @query()
 def s_a19_phases(t):
-    f = frames(t).where(F.size("species") > 0)
-    points = f.select("structure_id", A.point_key(S.element_counts(F.col("species"))).alias("point"))
-    return P.phase_inventory(P.phase_evidence(f), points)
+    f = frames(t).where(F.size("species") > 0).withColumn("symbols", A.symbols_key(F.col("species")))
+    return P.phase_inventory(P.phase_evidence(f, keep=("symbols",)))
 
 
 @query()

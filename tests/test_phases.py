@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.functions.structure import element_counts
 from framelake.generators import cells
@@ -199,3 +200,33 @@ def test_magnetic_evidence_of_a_batch_is_computed_together(spark, monkeypatch):
     df = df.withColumn("symbols", symbols_key(df.species))
     points = df.select("structure_id", point_key(element_counts(df.species)).alias("point"))
     assert sorted(magnetic.magnetic_inventory(magnetic.magnetic_evidence(df, keep=("symbols",))).collect()) == sorted(magnetic.magnetic_inventory(magnetic.magnetic_evidence(df), points).collect())
+
+
+def test_sketches_of_many_equal_the_rules_of_one_atom(spark, monkeypatch):
+    """Classes, templates and order of a whole batch are computed together and equal the single rules."""
+    cases = [crystal(k, n=2, kinds=("Fe", "Ni"), noise=x, seed=i) for k in ("fcc", "hcp", "bcc", "l12", "b2", "b3", "diamond") for i, x in enumerate((0.0, 0.04, 0.12))]
+    rng = np.random.default_rng(4)
+    frames = [(f.pos, f.lattice, f.pbc, f.species) for f in cases] + [(p, c, f, list(rng.choice(["Fe", "Ni"], len(p)))) for p, c, f in mixed_frames((1, 2, 3, 7)) if c is not None and c.any() and np.isfinite(p).all()]
+    calls = []
+    monkeypatch.setattr(phases, "sketches", lambda pos, *a, f=phases.sketches: calls.append(len(pos)) or f(pos, *a))
+    rows = [(i, s, p.tolist(), c.tolist(), f.tolist()) for i, (p, c, f, s) in enumerate(frames)]
+    df = spark.createDataFrame(rows, "structure_id bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>").coalesce(1).withColumn("symbols", symbols_key(F.col("species")))
+    got = {r.structure_id: r for r in phases.phase_evidence(df, keep=("symbols",)).collect()}
+    for i, (p, c, f, s) in enumerate(frames):
+        near = nearest(p, c, f, 24)
+        assert (i in got) == (near is not None)
+        if near is None:
+            continue
+        j, d, v = near
+        kinds, n = np.array(s), len(p)
+        want = [phases.classify(d[x], v[x]) for x in range(n)]
+        assert got[i].fractions == pytest.approx({k: want.count(k) / n for k in phases.CLASSES}) and got[i].symbols == " ".join(sorted(s))
+        profiles = [phases.shell_profile(d[x], kinds[j[x]] == kinds[x]) for x in range(n)]
+        assert got[i].prototypes == pytest.approx({t: np.mean([any(phases.matches(x, w)[1] for w in wanted) for x in profiles]) for t, wanted in phases.TEMPLATES.items()})
+        assert got[i].order == pytest.approx(np.mean([phases.translational_order(x) for x in v])) and got[i].fingerprint[-1] == pytest.approx(np.mean([x[0][1] for x in profiles]))
+    points = df.select("structure_id", point_key(element_counts(df.species)).alias("point"))
+    one, two = (sorted((r.point, r.label, r.structures, r.atoms, round(r.confidence, 9)) for r in phases.phase_inventory(*x).collect()) for x in ((phases.phase_evidence(df, keep=("symbols",)),), (phases.phase_evidence(df), points)))
+    assert one == two and len(one) > 4
+    b = [(np.array([frames[-1][0]] * 20), np.array([frames[-1][1]] * 20), np.ones((20, 3), bool), np.zeros((20, len(frames[-1][0])), int))]
+    monkeypatch.setattr(phases, "classify", None)
+    assert phases.sketches(*b[0])[0].all() and calls == [20]
