@@ -233,10 +233,58 @@ def config_id(config_type: Column, modulus: int = 1_000_003) -> Column:
     return F.when(F.coalesce(config_type, F.lit("")) == "", 0).otherwise(number % modulus if modulus else number)
 
 
-def content_seed(numbers_: list[int], pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, group: list[str] | None = None, tag: str = "", salt: int = 0) -> np.random.Generator:
-    """A random generator that depends on the structure's content only, so results do not depend on its place in a run."""
+def _constants(start: int, factor: int, n: int) -> list[tuple[int, int]]:
+    out = [start]
+    for _ in range(n):
+        out.append(out[-1] * factor & 0xFFFFFFFF)
+    return list(zip(out, out[1:]))
+
+
+MIX, DRAW = _constants(0x43B0D7E5, 0x931E8875, 16), _constants(0x8B51F9DD, 0x58F38DED, 8)
+PAIRS = [(a, b) for a in range(4) for b in range(4) if a != b]
+
+
+class _Seed(np.random.bit_generator.ISeedSequence):
+    """The state of ``SeedSequence([salt, number])`` in plain integers, which takes a fraction of its time."""
+
+    def __init__(self, salt: int, number: int) -> None:
+        self.key, words = (salt, number), [salt, *([0] if not number else [number & 0xFFFFFFFF] if number < 1 << 32 else [number & 0xFFFFFFFF, number >> 32])]
+        pool = []
+        for i in range(4):
+            x = (words[i] if i < len(words) else 0) ^ MIX[i][0]
+            x = x * MIX[i][1] & 0xFFFFFFFF
+            pool.append(x ^ x >> 16)
+        for (a, b), (before, after) in zip(PAIRS, MIX[4:]):
+            x = (pool[a] ^ before) * after & 0xFFFFFFFF
+            x = (0xCA01F9DD * pool[b] - 0x4973F715 * (x ^ x >> 16)) & 0xFFFFFFFF
+            pool[b] = x ^ x >> 16
+        self.words = []
+        for i, (before, after) in enumerate(DRAW):
+            x = (pool[i % 4] ^ before) * after & 0xFFFFFFFF
+            self.words.append(x ^ x >> 16)
+
+    def generate_state(self, n_words: int, dtype=np.uint32) -> np.ndarray:
+        if n_words * np.dtype(dtype).itemsize > 32:
+            return np.random.SeedSequence(list(self.key)).generate_state(n_words, dtype)
+        return np.array(self.words, "<u4").view(dtype)[:n_words]
+
+
+def content_hash(numbers_: list[int], pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray) -> hashlib.blake2b:
+    """Hash of atoms, cell and periodicity, numbers to eight digits."""
     h = hashlib.blake2b(digest_size=8)
-    for part in (np.asarray(numbers_, "<i8"), np.round(np.asarray(pos, float), 8) + 0.0, np.zeros(0) if cell is None else np.round(np.asarray(cell, float), 8) + 0.0, np.asarray(pbc, np.uint8)):
+    digits = lambda x: np.rint(np.asarray(x, float) * 1e8) / 1e8 + 0.0
+    for part in (np.asarray(numbers_, "<i8"), digits(pos), np.zeros(0) if cell is None else digits(cell), np.asarray(pbc, np.uint8)):
         h.update(part.tobytes())
+    return h
+
+
+def seeded(content: hashlib.blake2b, group: list[str] | None = None, tag: str = "", salt: int = 0) -> np.random.Generator:
+    """The generator of :func:`content_seed` from the structure's hash, which stays as it is."""
+    h = content.copy()
     h.update("\x1f".join([*(group or []), tag]).encode())
-    return np.random.default_rng([salt & 0xFFFFFFFF, int.from_bytes(h.digest(), "big")])
+    return np.random.Generator(np.random.PCG64(_Seed(salt & 0xFFFFFFFF, int.from_bytes(h.digest(), "big"))))
+
+
+def content_seed(numbers_: list[int], pos: np.ndarray, cell: np.ndarray | None, pbc: np.ndarray, group: list[str] | None = None, tag: str = "", salt: int = 0) -> np.random.Generator:
+    """A random generator that depends on the structure's content only, so results do not depend on its place in a run."""
+    return seeded(content_hash(numbers_, pos, cell, pbc), group, tag, salt)

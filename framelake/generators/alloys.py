@@ -257,13 +257,13 @@ def vacancy_defect(f: Frame, p: dict) -> Iterator[Frame]:
     most = min(most, len(f) - 1)
     if most < 1:
         return
-    u = unit_samples(f.rng(p["seed"], "vacancies"), p["samples"] * 4, 2, p["engine"])
-    seen = set()
+    rng, seen = f.seeds(), set()
+    u = unit_samples(rng(p["seed"], "vacancies"), p["samples"] * 4, 2, p["engine"])
     for row in u:
         if len(seen) >= p["samples"]:
             return
         n = most if p["fixed"] else 1 + int(row[0] * most)
-        gone = tuple(sorted(f.rng(int(row[1] * 2**31), "pattern").choice(len(f), n, replace=False).tolist()))
+        gone = tuple(sorted(rng(int(row[1] * 2**31), "pattern").choice(len(f), n, replace=False).tolist()))
         if gone not in seen:
             seen.add(gone)
             yield f.pick((k for k in range(len(f)) if k not in set(gone)), f"Vacancies({n})")

@@ -14,14 +14,18 @@ import json
 import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.functions.elements import NUMBER
-from framelake.functions.structure import content_seed, sanitize_tag
+from framelake.functions.structure import content_hash, sanitize_tag, seeded
+from framelake.generators.batches import batch_form, run_batch
+from framelake.operators.neighbors import pieces, read_vectors
 
 SCHEMA = (
     "structure_id bigint, variant bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>, "
@@ -36,6 +40,17 @@ class OperationError(ValueError):
     """Parameters or a structure that an operation cannot take."""
 
 
+@lru_cache(maxsize=65_536)
+def _with_tag(config_type: str, tag: str) -> str:
+    tags, tag = config_type.replace("|", " ").split(), sanitize_tag(tag)
+    if tag and tag not in tags:
+        tags.append(tag)
+    text = "|".join(tags)
+    if len(text) > 200 and len(tags) > 2:
+        text = f"{tags[0]}|...+{len(tags) - 2}|{tags[-1]}"
+    return text[:200]
+
+
 @dataclass
 class Frame:
     """One structure as arrays; ``spin`` and ``grp`` may be missing."""
@@ -61,18 +76,19 @@ class Frame:
             raise OperationError("the cell is flat")
         return self.pos @ np.linalg.inv(self.lattice)
 
+    def seeds(self) -> Callable[[int, str], np.random.Generator]:
+        """Generators of the content as it is now, for a seed and a salt."""
+        h = content_hash([NUMBER.get(s, 0) for s in self.species], self.pos, self.lattice, self.pbc)
+        return lambda seed, salt: seeded(h, self.grp, self.config_type + salt, seed)
+
     def rng(self, seed: int = 0, salt: str = "") -> np.random.Generator:
-        return content_seed([NUMBER.get(s, 0) for s in self.species], self.pos, self.lattice, self.pbc, self.grp, self.config_type + salt, seed)
+        return self.seeds()(seed, salt)
 
     def tagged(self, tag: str, **changes) -> Frame:
         """A copy with changes and one more tag."""
-        tags, tag = self.config_type.replace("|", " ").split(), sanitize_tag(tag)
-        if tag and tag not in tags:
-            tags.append(tag)
-        text = "|".join(tags)
-        if len(text) > 200 and len(tags) > 2:
-            text = f"{tags[0]}|...+{len(tags) - 2}|{tags[-1]}"
-        return replace(self, config_type=text[:200], **changes)
+        out = object.__new__(Frame)
+        out.__dict__.update(self.__dict__, config_type=_with_tag(self.config_type, tag), **changes)
+        return out
 
     def pick(self, keep: Iterable[int], tag: str) -> Frame:
         """The atoms at ``keep``."""
@@ -139,23 +155,44 @@ def run_one(name: str, frame: Frame, **params) -> list[Frame]:
     return list(op.run(frame, parameters(op, params)))
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors of every row, None for null."""
+    n, flat, good = read_vectors(column)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    if not (good | (pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False) == 0)).all():
+        return [None if r is None else np.array(r, float).reshape(-1, 3) for r in column.to_pylist()]
+    flat, ends = flat.copy(), np.cumsum(n)
+    return [flat[e - k : e] if ok else None for e, k, ok in zip(ends.tolist(), n.tolist(), known.tolist())]
+
+
 def _frames(b: pa.RecordBatch) -> Iterator[Frame]:
-    rows = {n: b[n].to_pylist() if n in b.schema.names else [None] * b.num_rows for n in NAMES}
-    for i in range(b.num_rows):
-        cell = rows["lattice"][i]
-        pbc = rows["pbc"][i]
+    rows = {n: [None] * b.num_rows if n not in b.schema.names else _arrays(b[n]) if n in ("pos", "lattice", "spin") else b[n].to_pylist() for n in NAMES if n not in ("variant", "energy", "forces")}
+    none = np.zeros((0, 3))
+    for species, pos, cell, pbc, tag, spin, grp, key in zip(*(rows[n] for n in ("species", "pos", "lattice", "pbc", "config_type", "spin", "grp", "structure_id"))):
         yield Frame(
-            list(rows["species"][i] or []), np.array(rows["pos"][i] or np.zeros((0, 3)), float).reshape(-1, 3), np.zeros((3, 3)) if cell is None else np.array(cell, float),
-            np.array(pbc if pbc is not None else [cell is not None] * 3, bool), rows["config_type"][i] or "", None if rows["spin"][i] is None else np.array(rows["spin"][i], float), rows["grp"][i], rows["structure_id"][i],
+            species or [], none.copy() if pos is None else pos, np.zeros((3, 3)) if cell is None else cell,
+            np.array(pbc if pbc is not None else [cell is not None] * 3, bool), tag or "", spin, grp, key,
         )
 
 
+def _nested(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Lists of 3-vectors."""
+    if any(x is None or x.ndim != 2 or x.shape[1] != 3 for x in arrays):
+        return pa.array([None if x is None else x.tolist() for x in arrays], _VEC)
+    flat = np.ascontiguousarray(np.concatenate(arrays), float)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 3, pa.int32()), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), inner)
+
+
 def to_batch(frames: list[tuple[int, Frame]]) -> pa.RecordBatch:
-    cols = [
-        [f.structure_id for _, f in frames], [v for v, _ in frames], [f.species for _, f in frames], [f.pos.tolist() for _, f in frames], [f.lattice.tolist() for _, f in frames],
-        [f.pbc.tolist() for _, f in frames], [f.config_type for _, f in frames], [None if f.spin is None else f.spin.tolist() for _, f in frames], [f.grp for _, f in frames], [None] * len(frames), [None] * len(frames),
-    ]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _KINDS)], NAMES)
+    held = [f for _, f in frames]
+    if not held:
+        return pa.record_batch([pa.array([], t) for t in _KINDS], NAMES)
+    species = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f.species) for f in held)]), pa.int32()), pa.array(list(chain.from_iterable(f.species for f in held)), pa.string()))
+    plain = [[f.structure_id for f in held], [v for v, _ in frames], [f.pbc.tolist() for f in held], [f.config_type for f in held], [f.grp for f in held]]
+    key, variant, pbc, tag, grp = (pa.array(c, _KINDS[NAMES.index(n)]) for c, n in zip(plain, ("structure_id", "variant", "pbc", "config_type", "grp")))
+    spin = pa.nulls(len(held), _VEC) if all(f.spin is None for f in held) else _nested([f.spin for f in held])
+    return pa.record_batch([key, variant, species, _nested([f.pos for f in held]), _nested([f.lattice for f in held]), pbc, tag, spin, grp, pa.nulls(len(held), _KINDS[9]), pa.nulls(len(held), _VEC)], NAMES)
 
 
 def apply(df: DataFrame, name: str, **params) -> DataFrame:
@@ -167,10 +204,14 @@ def apply(df: DataFrame, name: str, **params) -> DataFrame:
     if op.kind == "dataset":
         return op.run(df, params)
     columns = [c for c in NAMES if c in df.columns and c not in ("variant", "energy", "forces")]
-    run_op = op.run
+    run_op, form = op.run, batch_form(name, params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in (pieces(b, 5_000) if form else [b])):
+            made = run_batch(b, form, params, _with_tag, NAMES, _KINDS) if form else None
+            if made is not None:
+                yield from (made.slice(x, 10_000) for x in range(0, made.num_rows, 10_000))
+                continue
             held: list[tuple[int, Frame]] = []
             for frame in _frames(b):
                 for variant, result in enumerate(run_op(frame, params)):

@@ -109,14 +109,15 @@ def perturb(f: Frame, p: dict) -> Iterator[Frame]:
     rng = f.rng(p["seed"], "perturb")
     parts = clusters(f) if p["rigid"] else [[i] for i in range(len(f))]
     u = unit_samples(rng, p["count"], 3 * len(parts), p["engine"]).reshape(p["count"], len(parts), 3)
+    reach = np.array([p["by_element"].get(f.species[part[0]], p["max_distance"]) for part in parts], float)
+    owner = np.empty(len(f), int)
+    for i, part in enumerate(parts):
+        owner[part] = i
     for i, row in enumerate(u):
         direction = rng.normal(size=(len(parts), 3)) if p["engine"] == "uniform" else np.stack([np.sqrt(1 - (2 * row[:, 1] - 1) ** 2) * np.cos(2 * np.pi * row[:, 2]), np.sqrt(1 - (2 * row[:, 1] - 1) ** 2) * np.sin(2 * np.pi * row[:, 2]), 2 * row[:, 1] - 1], 1)
         direction /= np.maximum(np.linalg.norm(direction, axis=1, keepdims=True), 1e-12)
         step = direction * np.cbrt(row[:, :1])
-        pos = f.pos.copy()
-        for part, d in zip(parts, step):
-            for a in part:
-                pos[a] += d * p["by_element"].get(f.species[part[0]], p["max_distance"])
+        pos = f.pos + (step * reach[:, None])[owner]
         moved = f.tagged(f"Perturb({i})", pos=pos)
         yield moved if f.volume < 1e-12 else moved.tagged("", pos=moved.wrapped())
 

@@ -391,6 +391,55 @@ def minimum_distances(df: DataFrame, key: str = "structure_id") -> DataFrame:
     return _per_batch(df, [key, "species", *_GEOMETRY], one, f"`{key}` {kind}, a string, b string, distance double")
 
 
+def _radii(species: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of symbols of every row and the covalent radii of all."""
+    codes = species.flatten().dictionary_encode()
+    table = np.array([*(RADIUS.get(e, np.nan) for e in codes.dictionary.to_pylist()), np.nan])
+    return pc.list_value_length(species).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), table[codes.indices.fill_null(len(table) - 1).to_numpy(zero_copy_only=False)]
+
+
+def _aligned(n: np.ndarray, held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of every atom; not a number beyond those of its row."""
+    out = np.full(int(n.sum()), np.nan)
+    at = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+    known = at < np.repeat(held, n)
+    out[known] = values[(at + np.repeat(np.cumsum(held) - held, n))[known]]
+    return out
+
+
+def _short(n: np.ndarray, pos: np.ndarray, cells: np.ndarray, pbc: np.ndarray, most: float, limits: np.ndarray | None, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Structures with usable geometry, and those with a pair of distinct atoms below ``most``, or below the sum of their limits."""
+    good, flag = np.zeros(len(n), bool), np.zeros(len(n), bool)
+    below = np.less if strict else np.less_equal
+    first = np.cumsum(n) - n
+    for rows, atoms in by_size(n, n > 0):
+        p = pos[atoms]
+        cell, ok = usable_cells(cells[rows], pbc[rows])
+        ok &= np.isfinite(p).all((1, 2))
+        good[rows] = ok
+        if most <= 0 or not ok.any():
+            continue
+        inverse = np.linalg.inv(cell)
+        # within half of every height only the nearest image can be as near as that
+        near = ok & (most * np.where(pbc[rows], np.linalg.norm(inverse, axis=1), 0.0) < 0.49).all(1) & (len(atoms[0]) <= _DIRECT)
+        i, j = np.triu_indices(atoms.shape[1], 1)
+        some = np.flatnonzero(near)
+        step = max(1, _CACHE // max(1, len(i)))
+        for x in (some[x : x + step] for x in range(0, len(some), step)) if len(i) else ():
+            v = p[x][:, j] - p[x][:, i]
+            v -= np.where(pbc[rows[x]][:, None], np.rint(v @ inverse[x]), 0.0) @ cell[x]
+            d = np.sqrt(np.einsum("bik,bik->bi", v, v))
+            bound = most if limits is None else limits[atoms[x]][:, i] + limits[atoms[x]][:, j]
+            flag[rows[x]] = below(d, bound).any(1)
+        rest = rows[ok & ~near]
+        if len(rest):
+            s, i, j, d, _ = pairs_within([(pos[first[r] : first[r] + n[r]], cells[r], pbc[r]) for r in rest], most)
+            r = rest[s]
+            bound = np.full(len(d), most) if limits is None else limits[first[r] + i] + limits[first[r] + j]
+            flag[r[(i != j) & below(d, bound)]] = True
+    return good, flag
+
+
 def with_short_pairs(df: DataFrame, *, cutoff: float | None = None, coefficient: float | None = None, strict: bool = True, out: str = "short", key: str = "structure_id") -> DataFrame:
     """``df`` with a flag: a pair of distinct atoms closer than ``cutoff``, or than ``coefficient`` times the sum of covalent radii.
 
@@ -409,21 +458,12 @@ def with_short_pairs(df: DataFrame, *, cutoff: float | None = None, coefficient:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(x, 512) for x in range(0, b.num_rows, 512)):
-                frames = read_frames(part)
-                species = part["species"].to_pylist()
-                good = [len(p) > 0 and np.isfinite(p).all() and usable_cell(c, f) is not None for p, c, f in frames]
-                radii = [np.array([RADIUS.get(e, np.nan) for e in (sp or [])]) for sp in species]
-                most = cutoff if cutoff is not None else coefficient * 2 * max((float(np.nanmax(r)) for r in radii if len(r) and not np.isnan(r).all()), default=0.0)
-                flag = np.zeros(part.num_rows, bool)
-                if most > 0:
-                    s, i, j, d, _ = pairs_within(frames, most)
-                    if cutoff is None:
-                        limit = np.array([coefficient * (radii[x][p] + radii[x][q]) if max(p, q) < len(radii[x]) else np.nan for x, p, q in zip(s, i, j)])
-                    else:
-                        limit = np.full(len(d), cutoff)
-                    hit = (i != j) & ((d < limit) if strict else (d <= limit))
-                    flag[s[hit]] = True
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in part.schema.names), pa.array(flag, pa.bool_(), mask=~np.array(good, bool))], [*part.schema.names, out])
+                n, pos, cells, pbc = frame_arrays(part)
+                held, radii = _radii(part["species"])
+                most = cutoff if cutoff is not None else coefficient * 2 * float(np.nanmax(radii, initial=0.0))
+                limits = None if cutoff is not None else _aligned(n, held, radii) * coefficient
+                good, flag = _short(n, pos, cells, pbc, most, limits, strict)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in part.schema.names), pa.array(flag, pa.bool_(), mask=~good)], [*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
 

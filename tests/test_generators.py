@@ -200,3 +200,48 @@ def test_pipelines_groups_and_plugins(spark, tmp_path):
         G.pipeline(df, [{"name": "no such step"}])
     with pytest.raises(OperationError):
         G.run_one("perturb", f, colour=1)
+
+
+def test_batches_give_the_results_of_single_structures(spark, monkeypatch):
+    """Supercells, vacancies and displacements of a batch are computed together, with the random numbers of each structure alone."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(60):
+        n = 1 + i % 6
+        cell = np.eye(3) * rng.uniform(3, 6, 3) + rng.uniform(-0.5, 0.5, (3, 3)) if i % 11 else np.zeros((3, 3))
+        rows.append((i, list(rng.choice(["Cu", "Zn", "Xx"], n)), rng.uniform(-1, 4, (n, 3)).tolist(), cell.tolist(), [bool(x) for x in rng.random(3) < 0.7], ["", "bulk|x", "a b", None][i % 4]))
+    df = spark.createDataFrame(rows, "structure_id bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>, config_type string").coalesce(1)
+    text = lambda i, v, f: (i, v, f.species, np.round(f.pos, 9).tolist(), np.round(f.lattice, 9).tolist(), f.pbc.tolist(), f.config_type)
+    frames = [Frame(s, np.array(p), np.array(c), np.array(b), t or "", structure_id=i) for i, s, p, c, b, t in rows]
+    cases = [("supercell", {"scale": [2, 1, 3], "fixed": "y"}), ("vacancy_defect", {"samples": 3}), ("vacancy_defect", {"samples": 20, "seed": 5}), ("perturb", {"count": 2, "by_element": {"Zn": 0.1}, "seed": 2**33 + 1})]
+    want = [sorted(text(f.structure_id, v, r) for f in frames for v, r in enumerate(G.run_one(name, f, **params))) for name, params in cases]
+    for (name, params), expected in zip(cases, want):
+        monkeypatch.setattr(G.OPERATIONS[name], "run", lambda f, p: (_ for _ in ()).throw(AssertionError("one by one")))
+        got = sorted(text(r.structure_id, r.variant, Frame(list(r.species), np.array(r.pos), np.array(r.lattice), np.array(r.pbc), r.config_type)) for r in G.apply(df, name, **params).collect())
+        assert [x[:3] + x[5:] for x in got] == [x[:3] + x[5:] for x in expected] and len(got) > 40
+        assert all(np.allclose(a[3], b[3]) and np.allclose(a[4], b[4]) for a, b in zip(got, expected))
+        monkeypatch.undo()
+    # faults and moments go through the operation itself
+    odd = spark.createDataFrame([(1, ["Cu"] * 2, [[0.0] * 3, [1.0] * 3], None, None, None, [[0.0, 0.0, 1.0]] * 2)], "structure_id bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>, config_type string, spin array<array<double>>")
+    assert G.apply(odd, "vacancy_defect", samples=2).where("size(spin) = 1").count() == 2
+
+
+def test_random_streams_are_those_of_numpy():
+    from framelake.functions.structure import content_seed
+    from framelake.generators.batches import choose, draw, states
+
+    numbers = np.array([0, 1, 2**32 - 1, 2**32, 2**64 - 1, 123456789012345678], np.uint64)
+    for salt in (0, 7, 2**32 - 1):
+        for k, (state, inc) in zip(numbers.tolist(), states(salt, numbers)):
+            r = np.random.default_rng([salt, k])
+            assert r.bit_generator.state["state"] == {"state": state, "inc": inc}
+            assert (draw(state, inc)[1] >> 11) * 2.0**-53 == r.random()
+            for n in (1, 2, 5, 1000):
+                assert choose(state, inc, n) == np.random.default_rng([salt, k]).choice(n, 1, replace=False)[0]
+    a = content_seed([29, 8], np.eye(2, 3), np.eye(3), np.ones(3, bool), None, "x", 3)
+    import hashlib
+
+    h = hashlib.blake2b(digest_size=8)
+    for part in (np.array([29, 8], "<i8"), np.eye(2, 3), np.eye(3), np.ones(3, np.uint8)):
+        h.update(part.tobytes())
+    h.update(b"x")
+    assert (a.normal(size=9) == np.random.default_rng([3, int.from_bytes(h.digest(), "big")]).normal(size=9)).all()

@@ -2,12 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelake.functions.elements import RADIUS
 from framelake.functions.structure import element_counts
 from framelake.generators import cells
 from framelake.generators.base import Frame
 from framelake.operators import magnetic, phases
 from framelake.operators.audit import point_key, symbols_key
-from framelake.operators.neighbors import bad_bonds, bonds, distance_matrix, frame_arrays, nearest, nearest_many, pairs_within, pieces, read_frames
+from framelake.operators.neighbors import bad_bonds, bonds, distance_matrix, frame_arrays, nearest, nearest_many, pairs_within, pieces, read_frames, usable_cell, with_short_pairs
 
 
 def crystal(kind, a=3.6, n=2, kinds=("Fe", "Ni"), covera=1.633, noise=0.0, seed=0):
@@ -230,3 +231,21 @@ def test_sketches_of_many_equal_the_rules_of_one_atom(spark, monkeypatch):
     b = [(np.array([frames[-1][0]] * 20), np.array([frames[-1][1]] * 20), np.ones((20, 3), bool), np.zeros((20, len(frames[-1][0])), int))]
     monkeypatch.setattr(phases, "classify", None)
     assert phases.sketches(*b[0])[0].all() and calls == [20]
+
+
+@pytest.mark.parametrize("limit", [{"cutoff": 0.9}, {"cutoff": 3.4}, {"coefficient": 0.6}])
+def test_short_pairs_of_a_batch_equal_all_images(spark, limit):
+    frames = [f for f in mixed_frames((1, 2, 5, 7, 18))]
+    kinds = [["Fe", "O", "H"][i % 3] for i in range(18)]
+    rows = [(i, kinds[: len(p)], p.tolist(), None if c is None else c.tolist(), f.tolist()) for i, (p, c, f) in enumerate(frames)]
+    df = spark.createDataFrame(rows, "structure_id bigint, species array<string>, pos array<array<double>>, lattice array<array<double>>, pbc array<boolean>").coalesce(1)
+    got = {r.structure_id: r.short for r in with_short_pairs(df, **limit).collect()}
+    radius = np.array([RADIUS[k] for k in kinds])
+    for i, (p, c, f) in enumerate(frames):
+        if usable_cell(c, f) is None or not np.isfinite(p).all():
+            assert got[i] is None
+            continue
+        _, a, b, d, _ = pairs_within([(p, c, f)], 3.4)
+        bound = limit["cutoff"] if "cutoff" in limit else 0.6 * (radius[a] + radius[b])
+        assert got[i] == bool(((a != b) & (d < bound)).any())
+    assert len({x for x in got.values() if x is not None}) == 2
